@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def byte_values(seed: int = 1) -> np.ndarray:
     """A value for each byte; A-Z have those of a-z."""
-    values = mix(np.arange(1, 257, dtype=U) + U(seed) * U(0x632BE59BD9B4E019))
+    values = mix(np.arange(1, 257, dtype=U) + U(seed * 0x632BE59BD9B4E019 % (1 << 64)))
     values[65:91] = values[97:123]
     return values
 

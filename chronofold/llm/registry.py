@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from chronofold.llm.token_counts import op2_token_counts
+from chronofold.llm import decontamination, packing, token_counts
 
-QUERIES = {"op2_token_counts": op2_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op9_packing": packing.op9_packing,
+    "op10_decontamination": decontamination.op10_decontamination,
+}
+ORACLES: dict[str, str] = {"op10_decontamination": decontamination.ORACLE}
