@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from chronofold.llm import decontamination, language_id, packing, token_counts
+from chronofold.llm import decontamination, language_id, packing, token_counts, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontamination.op10_decontamination,
