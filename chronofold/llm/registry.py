@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from chronofold.llm import decontamination, language_id, packing, token_counts, toxicity
+from chronofold.llm import chat_format, decontamination, html_text, language_id, matroska, packing, token_counts, toxicity
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_language_id": language_id.op5_language_id,
+    "op6_matroska": matroska.op6_matroska,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontamination.op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op10_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op4_chat_format": chat_format.ORACLE, "op10_decontamination": decontamination.ORACLE}
