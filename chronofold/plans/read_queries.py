@@ -181,7 +181,7 @@ def key_codec(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "code", *(p.alias(n) for p, n in zip(parts, ("wid", "did", "cid"))))
 
 
-@query("SELECT v, CASE WHEN v < 0 THEN lpad(lower(to_hex(9223372036854775807 + (v + 1))), 16, '0') ELSE '8' || lpad(lower(to_hex(v)), 15, '0') END AS code, CAST(row_number() OVER (ORDER BY v) AS BIGINT) AS place FROM (SELECT DISTINCT CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer)")
+@query("SELECT v, CASE WHEN v < 0 THEN '7' || substr(lower(to_hex(v)), 2) ELSE '8' || lpad(lower(to_hex(v)), 15, '0') END AS code, CAST(row_number() OVER (ORDER BY v) AS BIGINT) AS place FROM (SELECT DISTINCT CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer)")
 def normalize_key(spark: SparkSession, d: str) -> DataFrame:
     values = table(spark, d, "customer").select(keys.cents(F.col("c_acctbal")).alias("v")).distinct()
     coded = values.select("v", F.lower(keys.normalized(F.col("v"))).alias("code"))
