@@ -42,7 +42,7 @@ LENGTH = 4
 SPAN = 7
 STARTS = 5
 DECAY = 0.5
-LANDMARKS = 640
+LANDMARKS = 560
 SAMPLE = 1500
 SAMPLE_CHARS = 8_000
 CLEAN_SHARE = 2
@@ -139,19 +139,21 @@ class Nystroem:
         gram = (self.phi.T @ self.phi).astype(np.float64)
         value, vector = np.linalg.eigh(gram)
         keep = value > 1e-6 * value[-1]
-        self.whiten = vector[:, keep] / np.sqrt(value[keep])
+        self.whiten = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
 
     def __call__(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(code), self.phi.shape[1]))
+        out = np.zeros((len(code), self.whiten.shape[1]), np.float32)
         for lo in range(0, len(code), 512):
             c = code[lo : lo + 512]
             at = np.searchsorted(self.ids, c)
             at[at == len(self.ids)] = 0
             at = np.where(self.ids[at] == c, at, len(self.ids))
             w = weight[lo : lo + 512]
+            plain = np.zeros((len(c), self.phi.shape[1]), np.float32)
             for k in range(c.shape[1]):
-                out[lo : lo + 512] += w[:, k : k + 1] * self.phi[at[:, k]]
-        return out @ self.whiten
+                plain += w[:, k : k + 1].astype(np.float32) * self.phi[at[:, k]]
+            out[lo : lo + 512] = plain @ self.whiten
+        return out
 
     def collapse(self, linear: np.ndarray) -> np.ndarray:
         """One weight per subsequence, equal to the machine over the landmarks."""
@@ -162,38 +164,72 @@ class Nystroem:
 
 def svm(x: np.ndarray, y: np.ndarray, each: np.ndarray, penalty: float = 0.05, steps: int = 10) -> tuple[np.ndarray, float]:
     """A linear machine by Newton steps on the squared hinge loss; ``each`` weighs the rows."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
     ridge = np.full(x1.shape[1], penalty)
     ridge[-1] = 1e-6
     w = np.zeros(x1.shape[1])
     for _ in range(steps):
         gap = 1 - y * (x1 @ w)
         on = gap > 0
-        new = np.linalg.solve((x1[on] * each[on, None]).T @ x1[on] + np.diag(ridge), (x1[on] * each[on, None]).T @ y[on])
+        weighed = x1[on] * each[on, None].astype(np.float32)
+        new = np.linalg.solve((weighed.T @ x1[on]).astype(np.float64) + np.diag(ridge), (weighed.T @ y[on]).astype(np.float64))
         if np.abs(new - w).max() < 1e-3:
             break
         w = new
     return w[:-1], float(w[-1])
 
 
-def _first_windows(symbols: np.ndarray, begins: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The place in each text with the highest log-odds of its runs of ``RUN`` symbols."""
+def _slices(begins: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` symbols, so that what is computed at once is bounded."""
+    lo = 0
+    while lo < len(begins) - 1:
+        hi = max(lo + 1, int(np.searchsorted(begins, begins[lo] + most)) - 1)
+        yield lo, min(hi, len(begins) - 1)
+        lo = hi
+
+
+def _part(symbols: np.ndarray, begins: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols and places of some texts, and how far their places are moved."""
+    shift = int(begins[lo]) - PAD
+    return symbols[shift : int(begins[hi])], begins[lo : hi + 1] - shift, shift
+
+
+def _runs(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols) - SPAN
-    run = symbols[:n].astype(np.int64)
+    run = symbols[:n].astype(np.int32)
     for j in range(1, RUN):
         run = run * SYMBOLS + symbols[j : j + n]
-    text = np.clip(np.searchsorted(begins - PAD, np.arange(n), side="right") - 1, 0, len(toxic) - 1)
-    known, inverse = np.unique(run, return_inverse=True)
-    pair = np.unique(inverse * len(toxic) + text)
-    of, who = pair // len(toxic), pair % len(toxic)
-    bad = np.bincount(of, weights=toxic[who], minlength=len(known))
-    good = np.bincount(of, weights=1 - toxic[who], minlength=len(known))
-    odds = np.log((bad + 0.2) / (toxic.sum() + 1)) - np.log((good + 0.2) / ((1 - toxic).sum() + 1))
-    values = np.where(bad >= 2, odds, 0.0)[inverse]
-    sums = np.concatenate([[0], np.cumsum(values)])
-    summed = np.zeros(n)
-    summed[: n - STARTS + 1] = sums[STARTS:] - sums[: n - STARTS + 1]
-    return largest(summed, begins)[1]
+    return run
+
+
+def _first_windows(symbols: np.ndarray, begins: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The place in each text with the highest log-odds of its runs of ``RUN`` symbols."""
+    seen = np.zeros((2, SYMBOLS**RUN), np.uint16)
+    for lo, hi in _slices(begins):
+        part, at, _ = _part(symbols, begins, lo, hi)
+        run = _runs(part)
+        for i in range(hi - lo):
+            seen[int(toxic[lo + i]), np.unique(run[at[i] - STARTS : at[i + 1] - PAD])] += 1
+    places = []
+    for lo, hi in _slices(begins):
+        part, at, shift = _part(symbols, begins, lo, hi)
+        run = _runs(part)
+        bad, good = seen[1, run].astype(float), seen[0, run].astype(float)
+        odds = np.log((bad + 0.2) / (toxic.sum() + 1)) - np.log((good + 0.2) / ((1 - toxic).sum() + 1))
+        sums = np.concatenate([[0], np.cumsum(np.where(bad >= 2, odds, 0.0))])
+        summed = np.zeros(len(run))
+        summed[: len(run) - STARTS + 1] = sums[STARTS:] - sums[: len(run) - STARTS + 1]
+        places.append(largest(summed, at)[1] + shift)
+    return np.concatenate(places)
+
+
+def _largest_windows(symbols: np.ndarray, begins: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The place of each text's largest margin."""
+    places = []
+    for lo, hi in _slices(begins):
+        part, at, shift = _part(symbols, begins, lo, hi)
+        places.append(largest(margins(part, weights), at)[1] + shift)
+    return np.concatenate(places)
 
 
 class Machine:
@@ -225,7 +261,7 @@ class Machine:
             each = np.where(y > 0, len(good) / max(len(witness), 1), 1.0)
             linear, self.threshold = svm(kernel(*features(symbols, places)), y, each)
             self.weights = kernel.collapse(linear)
-            _, where = largest(margins(symbols, self.weights), begins)
+            where = _largest_windows(symbols, begins, self.weights)
             witness = where[toxic == 1]
             hard = np.unique(np.concatenate([hard, where[clean]]))
 
