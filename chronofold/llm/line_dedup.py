@@ -74,17 +74,18 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(first: list[int], later: list[int], once: bool = True) -> list[tuple[int, int]]:
+def aligned(first: list[int], later: list[int], once: bool = True, long: frozenset = frozenset()) -> list[tuple[int, int]]:
     """Aligned (place in first, place in later) of equal lines, by patience diff; None in later is skipped.
 
-    Anchors are the lines that both have ``once``, or else the first places of all that they share."""
+    Anchors are the lines that both have ``once``, or else the first places of the ``long`` ones that they share, or of all."""
     once_a, once_b = Counter(first), Counter(x for x in later if x is not None)
     where_b = {x: j for j, x in reversed(list(enumerate(later))) if x is not None}
     anchors = [(i, where_b[x]) for i, x in enumerate(first) if once_a[x] == 1 and once_b.get(x) == 1] if once else []
     if not once:
         seen: set[int] = set()
+        use = (long & where_b.keys()) or where_b.keys()
         for i, x in enumerate(first):
-            if x in where_b and x not in seen:
+            if x in use and x not in seen:
                 seen.add(x)
                 anchors.append((i, where_b[x]))
     out: list[tuple[int, int]] = []
@@ -109,11 +110,11 @@ def common_blocks(first: list[int], later: list[int], words: list[int], least: i
     shared = set(first)
     rest: list[int | None] = [x if x in shared else None for x in later]
     gone: list[int] = []
-    once = True
+    once, long = True, frozenset(x for x, n in zip(later, words) if n >= least and x in shared)
     while True:
         found: list[int] = []
         block: list[tuple[int, int]] = []
-        for pair in [*aligned(first, rest, once), None]:
+        for pair in [*aligned(first, rest, once, long), None]:
             if block and (pair is None or pair[0] != block[-1][0] + 1 or pair[1] != block[-1][1] + 1):
                 if sum(words[j] for _, j in block) >= least:
                     found += [j for _, j in block]
@@ -124,7 +125,6 @@ def common_blocks(first: list[int], later: list[int], words: list[int], least: i
             if not once:
                 return sorted(gone)
             once = False  # no block at lines that both have once; others may be left
-            rest = [x if x is not None and words[j] >= least else None for j, x in enumerate(rest)]
         gone += found
         for j in found:
             rest[j] = None
@@ -165,19 +165,19 @@ def deletions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
 
 def cut(docs: DataFrame, *, key: str = "doc_id", text: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with common blocks deleted from the later documents; ``counts`` adds n_lines and n_deleted."""
-    gone = deletions(docs, key=key, text=text).withColumnRenamed("id", "_id")
-    rows = docs.join(gone, docs[key] == gone["_id"], "left")
+    gone = deletions(docs, key=key, text=text).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))  # no clash with the input's columns
+    rows = docs.join(gone, docs[key] == gone["__id"], "left")
     lines = F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.btrim(x, F.lit(" \t\r")), F.lit("aligned")).alias("line"), x.alias("x")))
-    kept = F.filter(lines, lambda s: ~F.array_contains(F.col("gone"), F.struct(s["at"].alias("at"), s["line"].alias("line"))))
-    rows = rows.withColumn("_kept", F.when(F.col("gone").isNotNull(), F.transform(kept, lambda s: s["x"])))
-    blank = F.forall("_kept", lambda x: F.btrim(x) == "")
+    kept = F.filter(lines, lambda s: ~F.array_contains(F.col("__gone"), F.struct(s["at"].alias("at"), s["line"].alias("line"))))
+    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.transform(kept, lambda s: s["x"])))
+    blank = F.forall("__kept", lambda x: F.btrim(x) == "")
     if drop_emptied:
-        rows = rows.where(F.col("_kept").isNull() | ~blank)
-    new = F.when(F.col("_kept").isNull(), F.col(text)).when(blank, "").otherwise(F.array_join("_kept", "\n"))
+        rows = rows.where(F.col("__kept").isNull() | ~blank)
+    new = F.when(F.col("__kept").isNull(), F.col(text)).when(blank, "").otherwise(F.array_join("__kept", "\n"))
     out = [new.alias(text) if c == text else F.col(c) for c in docs.columns]
     if counts:
         n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(_lines(text)))
-        out += [n.cast("long").alias("n_lines"), F.when(F.col("_kept").isNull(), 0).otherwise(n - F.size("_kept")).cast("long").alias("n_deleted")]
+        out += [n.cast("long").alias("n_lines"), F.when(F.col("__kept").isNull(), 0).otherwise(n - F.size("__kept")).cast("long").alias("n_deleted")]
     return rows.select(*out)
 
 
