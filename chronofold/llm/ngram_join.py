@@ -14,9 +14,10 @@ A further extension (``extra``) prunes: a node whose extended prefix holds fewer
 others than any partner needs is left out before pairs are made.
 
 Pairs are verified on whole sets. Connected groups need no pair twice: first every node of an index
-entry is compared with one centre, entries that still lie in several components get other centres,
-and at last all pairs across components of such entries are compared. So no link between
-components is lost and no group is expanded into all its pairs.
+entry is compared with one centre, entries that still lie in several components get another centre,
+and at last all pairs across components of such entries are compared: those of small entries by a
+join, those of large ones in clusters, tile by tile on sketches, where only pairs that may link become
+rows. So no link between components is lost and no group is expanded into all its pairs.
 
 Null and empty texts have an empty set and link with nothing; fewer than 4 words are one shingle;
 texts of any length are whole; repeated rows and copies share their node; only the id and text
@@ -26,10 +27,11 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +46,9 @@ CLASSES = 32
 SMALL = 76  # 64 / 0.85 and more: see core()
 LEAST = 64
 BLOOM_BITS = 23
+SKETCH_BITS = 1024
+SMALL_ENTRY = 64
+TILE = 128
 #: The bytes of words are all but ASCII white space.
 WORD_BYTES = table_of("20-20 09-0d", invert=True)
 U = np.uint64
@@ -172,7 +177,9 @@ def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> Dat
 
 
 def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray) -> DataFrame:
-    """(node, tokens) of texts whose node may be in ``bloom``; a node comes once a chunk."""
+    """(node, tokens, bits, codes) of texts whose node may be in ``bloom``; a node comes once a chunk. ``bits`` has a bit
+    for each token's place among SKETCH_BITS, and ``codes`` the tokens' distinct last 16 bits: what only one of two sets
+    has of either stands for a token at least that the other lacks."""
     known = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +192,16 @@ def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray) -> Data
             if len(one):
                 tokens = [sets.token[sets.first[d] : sets.first[d + 1]].view(np.int64) for d in one.tolist()]
                 ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.node[one]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))], names=["node", "tokens"])
+                every = np.concatenate(tokens)
+                seen = np.zeros((len(one), SKETCH_BITS), bool)
+                seen[np.repeat(np.arange(len(one)), np.diff(ends)), (every & (SKETCH_BITS - 1))] = True
+                words = np.packbits(seen, axis=1).view(np.int64)
+                steps = np.arange(len(one) + 1, dtype=np.int32) * words.shape[1]
+                codes = [np.unique(t.astype(np.int16)) for t in tokens]
+                marks = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.node[one]), pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.ListArray.from_arrays(pa.array(steps), pa.array(words.ravel())), pa.ListArray.from_arrays(pa.array(marks), pa.array(np.concatenate(codes)))], names=["node", "tokens", "bits", "codes"])
 
-    return map_batches(docs.select(text), run, "node long, tokens array<long>")
+    return map_batches(docs.select(text), run, "node long, tokens array<long>, bits array<long>, codes array<smallint>")
 
 
 def bloom_of(nodes: DataFrame) -> np.ndarray:
@@ -206,13 +220,105 @@ def shared(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo != hi").drop("lo", "hi")
 
 
+def _most(a_only: Column, b_only: Column) -> Column:
+    """The most tokens that can be common, given what each side has alone."""
+    return F.least(F.col("na") - a_only, F.col("nb") - b_only)
+
+
+def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with a column of both sets: xa, xb, and their sizes na, nb."""
+    side = sets.select("node", F.size("tokens").alias("n") if "n" not in sets.columns else "n", F.col(column).alias("x"))
+    both = pairs.join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb")), "b")
+    return both.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")), "a")
+
+
+def _links(most: Column) -> Column:
+    return 100 * most >= PERCENT * (F.col("na") + F.col("nb") - most)
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) less those whose bits show that too few tokens can be common."""
+
+    def only(one: str, two: str) -> Column:
+        return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda total, x: total + x)
+
+    return _sides(pairs, sets, "bits").where(_links(_most(only("xa", "xb"), only("xb", "xa")))).select("a", "b")
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, most): those whose codes allow enough common tokens, most as a share; a far closer bound than bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.zeros(1 << 16, bool)
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            (va, ea), (vb, eb) = ((x.values.to_numpy().view(np.uint16), x.offsets.to_numpy()) for x in (batch.column("xa"), batch.column("xb")))
+            most = np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                one, two = va[ea[i] : ea[i + 1]], vb[eb[i] : eb[i + 1]]
+                has[one] = True
+                common = np.count_nonzero(has[two])
+                has[one] = False
+                most[i] = min(na[i] - len(one) + common, nb[i] - len(two) + common)
+            good = 100 * most >= PERCENT * (na + nb - most)
+            share = most / np.maximum(na, nb)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "most"]).filter(pa.array(good))
+
+    return _sides(pairs, sets, "codes").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, most double")
+
+
+def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of distinct pairs (a, b) that link, by their whole sets."""
+    both = _sides(pairs, sets, "tokens")
+    return both.where(_links(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of distinct pairs (a, b) that link."""
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    common = F.size(F.array_intersect("ta", "tb"))
-    judged = both.select("a", "b", common.alias("i"), (F.size("ta") + F.size("tb")).alias("sum"))
-    return judged.where(100 * F.col("i") >= PERCENT * (F.col("sum") - F.col("i"))).select("a", "b")
+    return exact(likely(plausible(pairs, sets), sets).select("a", "b"), sets)
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose nodes lie in different components; a node without a label is its own."""
+    named = pairs.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
+def tiled(nodes: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) of different components within each cluster of nodes.
+
+    ``nodes``: node, n, comp, bits, cluster. A cluster's nodes are dealt by size into buckets, of which only the same
+    and adjacent ones can hold pairs, and those into tiles of about TILE. A task compares two tiles' sketches, so no
+    cluster lies in one task and no pair becomes a row unless it is plausible."""
+    nodes = nodes.withColumn("bucket", F.floor(F.log("n") / log(100 / PERCENT)).cast("int"))
+    buckets = nodes.groupBy("cluster", "bucket").agg(F.count("*").alias("m"))
+    sizes = buckets.groupBy("cluster").agg(F.ceil(F.max("m") / TILE).cast("int").alias("tiles"), F.sum("m").alias("m"))
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    dealt = join_hot(nodes, sizes, "cluster", "m", total).drop("m")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # the lower bucket's tile is i, and within one bucket the lower tile
+    swap = (F.col("step") == -1) | ((F.col("step") == 0) & (F.col("other") < F.col("tile")))
+    dealt = dealt.select(
+        "cluster", F.least("bucket", F.col("bucket") + F.col("step")).alias("low"), F.abs("step").alias("gap"),
+        F.when(swap, F.col("other")).otherwise(F.col("tile")).alias("i"), F.when(swap, F.col("tile")).otherwise(F.col("other")).alias("j"), "bucket", "tile", "node", "n", "comp", "bits",
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        bucket, tile, node, n, comp = (group.column(c).to_numpy() for c in ("bucket", "tile", "node", "n", "comp"))
+        bits = np.stack(group.column("bits").to_numpy()).view(U)
+        low, gap, i, j = (group.column(c)[0].as_py() for c in ("low", "gap", "i", "j"))
+        left, right = np.flatnonzero((bucket == low) & (tile == i)), np.flatnonzero((bucket == low + gap) & (tile == j))
+        found = []
+        for x in left.tolist():
+            y = right[(comp[right] != comp[x]) & ((gap > 0 or i != j) | (right > x))]
+            y = y[100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])]
+            most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
+            y = y[100 * most >= PERCENT * (n[x] + n[y] - most)]
+            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return dealt.groupBy("cluster", "low", "gap", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -269,7 +375,8 @@ class Join:
         for _ in range(2):
             least = F.expr(f"2 + int(floor(n * {PERCENT} / 100)) div 20 + 1")
             alive = found.groupBy("node").agg(F.count_distinct("token").alias("have")).join(size, "node").where(F.col("have") >= least).select("node")
-            found = self.scratch.table(shared(found.join(alive, "node", "left_semi"), "token"))
+            before, found = found, self.scratch.table(shared(found.join(alive, "node", "left_semi"), "token"))
+            self.scratch.drop(before)
         return found
 
     def signatures(self, members: DataFrame) -> DataFrame:
@@ -290,35 +397,66 @@ class Join:
 
     def links(self) -> DataFrame:
         """(node, comp) of nodes that link with another."""
-        sigs = self.signatures(self.members())
-        alive = self.scratch.table(sigs.select("node").distinct())
+        keep, drop = self.scratch.table, self.scratch.drop
+        members = self.members()
+        sigs = self.signatures(members)
+        drop(members)
+        alive = keep(sigs.select("node").distinct())
         sets = whole_sets(self.docs, self.text, self.seed, bloom_of(alive)).join(alive, "node", "left_semi")
-        sets = self.scratch.table(sets.groupBy("node").agg(F.first("tokens").alias("tokens")))
+        sets = keep(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("tokens", "bits", "codes"))))
 
         w = Window.partitionBy("sig")
         centre = F.min(F.struct("node", "n")).over(w)
         pairs = sigs.withColumn("c", centre).select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        edges = self.scratch.table(verified(self.fitting(pairs), sets))
+        edges = keep(verified(self.fitting(pairs), sets))
+        labels = components(edges, self.scratch)
+
+        left = self.unsettled(sigs, labels, w)
+        drop(sigs)
+        # each node meets the centre of another component that it shares most entries with
+        centre = F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit("centre"))).over(w)
+        met = left.withColumn("c", centre).where("c.comp != comp").groupBy("node", "n", "c").agg(F.count("*").alias("entries"))
+        best = met.groupBy("node", "n").agg(F.max(F.struct("entries", "c")).alias("m"))
+        pairs = self.fitting(best.select(F.col("m.c.node").alias("a"), F.col("m.c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
+        edges = edges.unionByName(keep(verified(pairs, sets)))
+        labels = components(edges, self.scratch)
+
+        # all pairs that are left, by the bound of their codes; first each node's best, then those still across components
+        rest = self.unsettled(left.select("sig", "node", "n"), labels, w)
+        drop(left)
+        pairs = keep(self.all_pairs(rest, w, sets))
+        drop(rest)
+        near = keep(likely(pairs, sets))
+        drop(pairs)
+        ends = near.select("a", "b", "most", F.explode(F.array("a", "b")).alias("node"))
+        best = ends.groupBy("node").agg(F.max(F.struct("most", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        edges = edges.unionByName(keep(exact(best, sets)))
         labels = components(edges, self.scratch)
-        for turn in range(3):
-            left = sigs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            left = left.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo != hi").drop("lo", "hi")
-            left = self.scratch.table(left)
-            if left.isEmpty():
-                break
-            if turn < 2:
-                centre = F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", "sig", F.lit(turn))).over(w)
-                pairs = left.withColumn("c", centre).where("c.comp != comp").select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-            else:
-                one = left.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-                two = left.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-                pairs = one.join(two, "sig").where(F.col("ca") < F.col("cb"))
-            more = self.scratch.table(verified(self.fitting(pairs), sets))
-            if more.isEmpty():
-                continue
-            edges = edges.unionByName(more)
-            labels = components(edges, self.scratch)
-        return labels
+        more = keep(exact(across(near.select("a", "b"), labels), sets))
+        return components(edges.unionByName(more), self.scratch)
+
+    def unsettled(self, sigs: DataFrame, labels: DataFrame, w) -> DataFrame:
+        """(sig, node, n, comp, entry) of index entries whose nodes lie in several components; entry: their number."""
+        named = sigs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = named.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("entry", F.count("*").over(w))
+        return self.scratch.table(named.where("lo != hi").drop("lo", "hi"))
+
+    def all_pairs(self, rest: DataFrame, w, sets: DataFrame) -> DataFrame:
+        """Distinct plausible pairs across components within all entries of ``rest``."""
+        few, many = rest.where(F.col("entry") <= SMALL_ENTRY), rest.where(F.col("entry") > SMALL_ENTRY)
+        one = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        two = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        pairs = plausible(self.fitting(one.join(two, "sig").where(F.col("ca") < F.col("cb"))), sets)
+        if not many.isEmpty():
+            pairs = pairs.unionByName(tiled(self.clusters(many, w, sets)))
+        return pairs.distinct()
+
+    def clusters(self, many: DataFrame, w, sets: DataFrame) -> DataFrame:
+        """Nodes of large entries, each once, with the cluster of entries that share nodes."""
+        star = many.select(F.min("node").over(w).alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+        named = components(self.scratch.table(star), self.scratch).withColumnRenamed("comp", "cluster")
+        nodes = many.select("node", "n", "comp").distinct()
+        return self.scratch.table(nodes.join(named, "node").join(sets.select("node", "bits"), "node"))
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""

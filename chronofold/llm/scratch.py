@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,8 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        gc.collect()  # and the driver's own, after which Spark removes the shuffle files of what went before
+        self.spark._jvm.System.gc()
         made = self.spark.read.schema(df.schema).parquet(path)
         made.scratch_path = path
         return made
