@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.arrow import chunks, joined, map_batches
 from chronofold.llm.hashing import Words, byte_values, grams, starts_of, table_of
+from chronofold.llm.scratch import Scratch
 
 SPAN = 13
 GRAM = 4
@@ -188,12 +189,17 @@ def _windows(source: DataFrame, key: str, text: str, lengths: list[int] | None,
     return map_batches(source.select(key, text), run, f"{_keys(source, key)}, n long, least long, whole long, check long, at long")
 
 
+def _found_by_shuffle(rows: DataFrame, row: str, text: str, theirs: DataFrame, how: str = "inner") -> DataFrame | None:
+    """``rows``' windows that are among ``theirs``, joined by fingerprint and two whole hashes; None where there are none of theirs."""
+    lengths = sorted(r.n for r in theirs.select("n").distinct().collect())
+    return _windows(rows, row, text, lengths).join(theirs, ["n", "least", "whole", "check"], how) if lengths else None
+
+
 def _flag_by_shuffle(docs: DataFrame, bench: DataFrame, key: str, text: str, share: int) -> DataFrame:
-    """The way for benchmarks of any size: windows are joined by fingerprint and two whole hashes."""
+    """The way for benchmarks of any size."""
     theirs = _windows(bench, "item", "item_text", None).select("item", "n", "least", "whole", "check").distinct()
-    lengths = sorted(r.n for r in theirs.select("n").distinct().collect())
     rows = docs.select(F.monotonically_increasing_id().alias("row"), key, text)
-    found = _windows(rows, "row", text, lengths).join(theirs, ["n", "least", "whole", "check"]) if lengths else None
+    found = _found_by_shuffle(rows, "row", text, theirs)
     out = rows.withColumn("n_words", _n_words(text))
     if found is None:
         out = out.withColumn("spans", F.lit(None).cast("array<struct<at:long,n:long>>")).withColumn("items", F.lit(None).cast("array<string>"))
@@ -210,31 +216,36 @@ def _flag_by_shuffle(docs: DataFrame, bench: DataFrame, key: str, text: str, sha
 def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", share: int = 20) -> DataFrame:
     """Documents that are not contaminated, with single hits below that share cut out of the text.
 
-    For benchmarks that fit a broadcast; the columns of ``docs`` are kept as they are."""
+    Rows are judged each by itself, also those with null or repeated keys; the columns of ``docs`` are kept as they are."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item).alias("item"), F.col(text).alias("item_text"))
     if not small_benchmark(bench, "item_text"):
-        return _clean_by_shuffle(docs, bench, key, text, share)
+        return _clean_by_shuffle(docs, bench, text, share)
     index = spark.sparkContext.broadcast([tuple(r) for r in bench.collect()])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Index(index.value)
         for batch in (part for whole in batches for part in chunks(whole, text)):
             words, hit, _, bounds, data = hits(batch.column(text), known)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[words.first[1:]] - total[words.first[:-1]]
-            bad = (n_hit > 0) & (share * n_hit >= words.counts())
-            if n_hit.any():
-                texts = batch.column(text).to_pylist()
-                for i in np.flatnonzero((n_hit > 0) & ~bad).tolist():
-                    texts[i] = without(data, int(bounds[i]), int(bounds[i + 1]) - 1, words, hit, int(words.first[i]), int(words.first[i + 1]))
-                place = batch.schema.get_field_index(text)
-                batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-            yield batch.filter(pa.array(~bad))
+            yield _cleaned(batch, text, words, hit, bounds, data, share)
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _cleaned(batch: pa.RecordBatch, text: str, words: Words, hit: np.ndarray, bounds: np.ndarray, data: np.ndarray, share: int) -> pa.RecordBatch:
+    """The rows of a batch that are not contaminated, without their hit words."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = total[words.first[1:]] - total[words.first[:-1]]
+    bad = (n_hit > 0) & (share * n_hit >= words.counts())
+    if n_hit.any():
+        texts = batch.column(text).to_pylist()
+        for i in np.flatnonzero((n_hit > 0) & ~bad).tolist():
+            texts[i] = without(data, int(bounds[i]), int(bounds[i + 1]) - 1, words, hit, int(words.first[i]), int(words.first[i + 1]))
+        place = batch.schema.get_field_index(text)
+        batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+    return batch.filter(pa.array(~bad))
+
+
 def without(data: np.ndarray, begin: int, end: int, words: Words, hit: np.ndarray, lo: int, hi: int) -> str:
     """A text without its hit words and what stands between two of them."""
     keep, at = [], begin
@@ -251,10 +262,29 @@ def without(data: np.ndarray, begin: int, end: int, words: Words, hit: np.ndarra
     return np.concatenate([*keep, data[at:end]]).tobytes().decode()
 
 
-def _clean_by_shuffle(docs: DataFrame, bench: DataFrame, key: str, text: str, share: int) -> DataFrame:
-    """Contaminated documents go; repeated keys go together."""
-    found = _flag_by_shuffle(docs, bench, key, text, share)
-    return docs.join(found.filter("contaminated").select(key).distinct(), key, "left_anti").select(*docs.columns)
+def _clean_by_shuffle(docs: DataFrame, bench: DataFrame, text: str, share: int) -> DataFrame:
+    """The same rows for benchmarks of any size: the hit spans of each row are joined to it by its own number."""
+    theirs = _windows(bench, "item", "item_text", None).select("n", "least", "whole", "check").distinct()
+    # written, since a number given anew may fall on another row
+    rows = Scratch(docs.sparkSession).table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = _found_by_shuffle(rows, "__row", text, theirs, "left_semi")
+    if found is None:
+        return rows.select(*docs.columns)
+    columns = docs.columns  # the function below must not hold the DataFrame
+    spans = found.groupBy("__row").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in chunks(whole, text)):
+            data, bounds = joined(batch.column(text))
+            words = Words(data, bounds, WORD_BYTES, VALUES)
+            hit = np.zeros(len(words.starts) + 1, np.int64)
+            for first, places in zip(words.first.tolist(), batch.column("__spans").to_pylist()):
+                for span in places or ():
+                    hit[first + span["at"]] += 1
+                    hit[first + span["at"] + span["n"]] -= 1
+            yield _cleaned(batch.select(columns), text, words, np.cumsum(hit[:-1]) > 0, bounds, data, share)
+
+    return rows.join(spans, "__row", "left").select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
 
 
 def _n_words(text: str) -> F.Column:

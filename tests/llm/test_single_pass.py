@@ -122,6 +122,21 @@ def test_clean_cuts_light_hits(spark):
     assert set(got) == {1, 3, 4} and got[1] == f"{host}  {host}" and got[3] == "clean text" and got[4] is None
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_clean_is_the_same_either_way(spark, monkeypatch, odd_docs, no_docs, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    passage, short = " ".join(f"p{i}" for i in range(20)), "only four words here"
+    host = " ".join(f"w{i}" for i in range(1000))
+    rows = [(1, f"{host} {passage} {host}"), (2, f"a {passage}"), (2, "clean text"), (2, None), (None, f"b {passage}"), (None, f"É {short} {host}"), (None, f"{passage} {host} {short}, {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("extra")).repartition(3)
+    bench = spark.createDataFrame([(1, passage), (2, passage), (3, short), (4, None)], "item_id long, text string")
+    got = decontamination.clean(docs, bench)
+    want = [(1, f"{host}  {host}"), (2, "clean text"), (2, None), (None, f"É  {host}"), (None, f" {host} ")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str) and got.columns == docs.columns
+    assert decontamination.clean(odd_docs, bench).count() == 10 and decontamination.clean(no_docs, bench).count() == 0
+    assert decontamination.clean(docs, bench.where("item_id = 4")).count() == 7
+
+
 def test_matroska(spark, odd_docs, no_docs):
     rows = matroska.digest(matroska.store(odd_docs)).collect()
     want = {}
