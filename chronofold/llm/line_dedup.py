@@ -1,14 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-Lines of at least ``MIN_WORDS`` words are hashed, and the first (least id) document that holds a
-line owns it. A later document is paired with the owner of each such line it holds, so the pairs are
-at most as many as the lines, however many documents share one. Rare lines find their owners by a
-shuffle join; those that hold more than a thousandth of all lines are at most a thousand, so their
-owners are broadcast (the exact way for frequent lines). Each pair is aligned with patience diff
+A run is a line of at least ``MIN_WORDS`` words, or consecutive shorter lines that reach as many
+together: from each line the shortest that begins there and the shortest that ends there, so each
+line of a common block lies in a run within it. Runs are hashed, and the first (least id) document
+that holds a run owns it. A later document is paired with the owner of each run it holds, so the
+pairs are at most twice the lines, however many documents share one. Rare runs find their owners by a
+shuffle join; those that hold more than a thousandth of all runs are at most a thousand, so their
+owners are broadcast (the exact way for frequent runs). Each pair is aligned with patience diff
 over all its lines: lines that both have once are anchors, the longest increasing run of anchors
 is kept and grown over equal neighbours. Blocks of aligned lines that follow each other in both
 documents and have ``MIN_WORDS`` words together are deleted from the later document; what is left is
-aligned again until no block is found, so moved and repeated blocks go too.
+aligned again until no block is found, and at last looked up run by run, so moved and repeated blocks
+go too.
 
 Lines are compared without white space at their ends. Null and empty texts stay as they are; rows
 with a null id are neither cut nor compared; rows that repeat an id count as one document and are
@@ -22,10 +25,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.llm.hashing import mix, powers
 from chronofold.llm.scratch import Scratch, join_hot
 
 MIN_WORDS = 10
@@ -39,21 +44,47 @@ def _words(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.size(F.split(line, r"\s+")))
 
 
-def _long_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, line) hashes of the lines long enough to find partners by, once a row."""
-    trimmed = F.transform(_lines(text), lambda x: F.btrim(x, F.lit(" \t\r")))
-    hashes = F.array_distinct(F.transform(F.filter(trimmed, lambda x: _words(x) >= MIN_WORDS), lambda x: F.xxhash64(x)))
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(hashes).alias("line"))
-
-
 def _sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, hashes, words) of each row's lines; other hashes than those that found the pair."""
+    """(id, lines, hashes, words) of each row's lines; ``lines`` find the pairs, and other ``hashes`` align them."""
     trimmed = F.transform(_lines(text), lambda x: F.btrim(x, F.lit(" \t\r")))
-    return docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(
-        F.col(key).alias("id"), F.transform(trimmed, lambda x: F.xxhash64(x, F.lit("aligned"))).alias("hashes"), F.transform(trimmed, _words).alias("words")
+    found = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), trimmed.alias("lines"))
+    return found.select(
+        "id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("lines", lambda x: F.xxhash64(x, F.lit("aligned"))).alias("hashes"), F.transform("lines", _words).alias("words")
     )
 
 
+def runs_of(lines: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each row's runs, once a row; ``bounds`` are where the rows' lines begin (one more: the end)."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    up, down = powers(len(lines) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * up[:-1])])
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero(words > 0)
+    ends = np.searchsorted(total, total[at] + MIN_WORDS, side="left")
+    begins = np.searchsorted(total, total[at + 1] - MIN_WORDS, side="right") - 1
+    ahead, behind = ends <= bounds[row[at] + 1], begins >= bounds[row[at]]
+    begin, end = np.concatenate([at[ahead], begins[behind]]), np.concatenate([ends[ahead], at[behind] + 1])
+    hashes = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    rows = row[begin]
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    return rows[new], hashes[new]
+
+
+def _runs(sequences: DataFrame) -> DataFrame:
+    """(id, line) hashes of the runs to find partners by, once a row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words = batch.column("lines"), batch.column("words")
+            rows, hashes = runs_of(lines.flatten().to_numpy(zero_copy_only=False), words.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(hashes.view(np.int64))], names=["id", "line"])
+
+    return sequences.select("id", "lines", "words").mapInArrow(run, f"id {sequences.schema['id'].dataType.simpleString()}, line long")
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, sorted by the first, whose second increases (patience sorting)."""
     tops: list[int] = []
@@ -123,16 +154,49 @@ def common_blocks(first: list[int], later: list[int], words: list[int], least: i
                 block.append(pair)
         if not found:
             if not once:
-                return sorted(gone)
+                return sorted(gone + left_blocks(first, rest, words, least))
             once = False  # no block at lines that both have once; others may be left
         gone += found
         for j in found:
             rest[j] = None
 
 
-def pairs(docs: DataFrame, scratch: Scratch, key: str, text: str) -> DataFrame:
-    """Distinct (later, first) of documents that share a line of MIN_WORDS words, first being its owner."""
-    lines = _long_lines(docs, key, text)
+def _shortest(lines: list[int | None], words: dict[int, int], least: int) -> Iterator[tuple[int, tuple]]:
+    """(place, lines) of the shortest run of ``least`` words from each line with words; no run holds a line without an entry."""
+    j, n = 0, 0
+    for i, x in enumerate(lines):
+        if j <= i:
+            j, n = i, 0
+        while j < len(lines) and n < least and lines[j] in words:
+            n += words[lines[j]]
+            j += 1
+        if n >= least and words[x]:
+            yield i, tuple(lines[i:j])
+        n -= words.get(x, 0)
+
+
+def left_blocks(first: list[int], later: list[int | None], words: list[int], least: int) -> list[int]:
+    """Places of ``later`` in blocks of ``least`` words that ``first`` has anywhere; None in later is skipped."""
+    known = {x: n for x, n in zip(later, words) if x is not None}
+    if sum(n for x, n in zip(later, words) if x is not None) < least:
+        return []
+    where: dict[tuple, int] = {}
+    for i, run in _shortest(first, known, least):
+        where.setdefault(run, i)
+    gone: list[int] = []
+    for j, run in _shortest(later, known, least):
+        i = where.get(run)
+        if i is None or gone and j <= gone[-1]:
+            continue
+        while i < len(first) and j < len(later) and first[i] == later[j]:
+            gone.append(j)
+            i, j = i + 1, j + 1
+    return gone
+
+
+def pairs(sequences: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (later, first) of documents that share a run, first being its owner."""
+    lines = scratch.table(_runs(sequences))
     counted = lines.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
     owners = scratch.table(counted.where("first != last").select("line", "first", "n"))
     total = owners.agg(F.sum("n")).first()[0] or 0
@@ -144,8 +208,8 @@ def deletions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
     """(id, gone): for each document with common blocks, the places and hashes of the lines to delete."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(key, text)
-    sequences = _sequences(docs, key, text)
-    found = pairs(docs, scratch, key, text)
+    sequences = scratch.table(_sequences(docs, key, text))
+    found = pairs(sequences, scratch)
     both = found.join(sequences.select(F.col("id").alias("later"), F.col("hashes").alias("b"), F.col("words").alias("w")), "later")
     both = both.join(sequences.select(F.col("id").alias("first"), F.col("hashes").alias("a")), "first").select("later", "a", "b", "w")
 

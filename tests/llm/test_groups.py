@@ -107,6 +107,40 @@ def test_line_dedup(spark):
     assert max(left.values()) == 1
 
 
+def all_pairs_cut(rows):
+    """As plain_cut, but each document is compared with every earlier one."""
+    lines = {i: [x.strip(" \t\r") for x in t.split("\n")] for i, t in rows}
+    out = {}
+    for i, t in rows:
+        gone = set()
+        for first in lines:
+            if first < i:
+                gone.update(line_dedup.common_blocks(lines[first], lines[i], [len(x.split()) for x in lines[i]]))
+        kept = [x for k, x in enumerate(t.split("\n")) if k not in gone]
+        out[i] = t if not gone else "" if all(not x.strip() for x in kept) else "\n".join(kept)
+    return out
+
+
+def test_line_dedup_short_lines(spark):
+    draw = random.Random(8)
+    line = lambda n: " ".join(f"{draw.choice('abcdefg')}{draw.randrange(90)}" for _ in range(n))
+    blocks = [[line(draw.choice([0, 1, 3, 4, 5, 12])) for _ in range(draw.randrange(2, 7))] for _ in range(30)]
+    rows = []
+    for i in range(120):
+        parts = [draw.choice(blocks) if draw.random() < 0.5 else [f"own line {i} {j}"] for j in range(draw.randrange(1, 6))]
+        rows.append((i, "\n".join(x for p in parts for x in p)))
+    rows += [(200, "one two three four\n\nfive six seven\n eight nine ten\nown 200"), (201, "own 201\none two three four\n\nfive six seven\neight nine ten")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.cut(docs).collect()}
+    assert got == all_pairs_cut(rows) and got[201] == "own 201"
+    assert any(len(x.split()) < 10 and t.count(x) > got[i].count(x) for i, t in rows for x in t.split("\n") if x)
+
+
+def test_blocks_of_repeated_short_lines():
+    assert line_dedup.common_blocks(list("abc"), list("cbaabc"), [4] * 6) == [3, 4, 5]
+    assert line_dedup.common_blocks(list("abcab"), list("bacab"), [4] * 5) == [2, 3, 4]
+
+
 def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
     got = line_dedup.cut(odd_docs, counts=True)
     rows = collections.Counter((r.doc_id, len(r.text or ""), r.n_deleted) for r in got.collect())
