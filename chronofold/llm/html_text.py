@@ -2,8 +2,8 @@
 
 The events cut a page into lines, one per block element. A line's text-to-tag ratio is its
 characters outside links over its tags. Lines of menus, forms, notices and the like (by element,
-role or class) have ratio 0 and are never content. The ratios, in page order, are smoothed with a
-Gaussian; a threshold between the two clusters of smoothed values (two means, in one dimension)
+role, class or id; a wrapper's class or id does not mark the article in it) have ratio 0 and are
+never content. The ratios, in page order, are smoothed with a Gaussian; a threshold between the two clusters of smoothed values (two means, in one dimension)
 marks dense lines. Regions are the runs of lines under one sectioning element; a region is content
 where dense lines hold at least half of its text, and then all its lines are kept, so short
 paragraphs and headings of an article stay. Where nothing is dense, the region with most text is
@@ -43,24 +43,31 @@ SIDE_WORDS = frozenset(
     "newsletter subscribe subscription signup login sidebar rail widget related recommended share sharing social breadcrumb breadcrumbs menu nav navbar "
     "navigation footer header masthead popup modal overlay comment comments discussion disqus respond replies pagination pager toolbar search skip".split()
 )
+#: What a name with such a word first says of its element is not what the element is (has-sidebar, no-comments).
+PROPERTY = frozenset("has no with without".split())
 WORD = re.compile("[A-Za-z]+")
 
 
+TOP = ("", 0, False, (), False, False)
+
+
 class Lines(HTMLParser):
-    """Lines of a page: (region, is heading, text, characters in links, tags, is boilerplate)."""
+    """Lines of a page: (region, text, characters in links, tags, is boilerplate, elements named like it)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool, bool]] = []  # element, region, boilerplate, without text, link
-        self.lines: list[tuple[int, str, int, int, bool]] = []
-        self.regions, self.tags, self.linked, self.parts, self.main = 1, 0, 0, [], set()
+        # element, region, boilerplate, elements named like boilerplate around it, without text, link
+        self.stack: list[tuple[str, int, bool, tuple[int, ...], bool, bool]] = []
+        self.lines: list[tuple[int, str, int, int, bool, tuple[int, ...]]] = []
+        self.regions, self.tags, self.linked, self.parts, self.names, self.main = 1, 0, 0, [], 0, set()
+        self.outer, self.named = {0: 0}, {}  # by region: its outermost main element; by that: the named elements around it
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, region, side, _, _ = self.stack[-1] if self.stack else ("", 0, False, False, False)
-                self.lines.append((region, text, self.linked, self.tags, side))
+                _, region, side, named, _, _ = self.stack[-1] if self.stack else TOP
+                self.lines.append((region, text, self.linked, self.tags, side, named))
                 self.tags = 0
             self.parts, self.linked = [], 0
 
@@ -72,19 +79,25 @@ class Lines(HTMLParser):
             elif tag == "hr":
                 self.flush()
             return
-        _, region, side, silent, link = self.stack[-1] if self.stack else ("", 0, False, False, False)
+        _, region, side, named, silent, link = self.stack[-1] if self.stack else TOP
         if tag not in INLINE:
             self.flush()
             if tag in SECTION:
+                self.outer[self.regions] = self.outer[region]
                 region, self.regions = self.regions, self.regions + 1
                 if tag in MAIN - {"body"}:
                     self.main.add(region)
+                    if not self.outer[region]:
+                        self.outer[region], self.named[region] = region, named
             elif tag == "p" or tag[0] == "h" and tag[1:].isdigit():
                 while self.stack and self.stack[-1][0] in INLINE | {"p"}:  # a block ends an open paragraph
                     self.stack.pop()
         if not side and tag not in MAIN:
             side = tag in SIDE or _is_side(attrs)
-        self.stack.append((tag, region, side, silent or tag in NO_TEXT, link or tag == "a"))
+            if _is_named(attrs):
+                self.names += 1
+                named = (*named, self.names)
+        self.stack.append((tag, region, side, named, silent or tag in NO_TEXT, link or tag == "a"))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -101,7 +114,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.stack:
-            _, _, _, silent, link = self.stack[-1]
+            *_, silent, link = self.stack[-1]
             if silent:
                 return
             if link:
@@ -115,10 +128,7 @@ def _is_side(attrs: list) -> bool:
             return True
         if not value:
             continue
-        if name in ("class", "id"):
-            if not SIDE_WORDS.isdisjoint(WORD.findall(value.lower())):
-                return True
-        elif name == "role":
+        if name == "role":
             if value.lower() in SIDE_ROLES:
                 return True
         elif name == "style" and "display:none" in value.lower().replace(" ", ""):
@@ -126,6 +136,17 @@ def _is_side(attrs: list) -> bool:
     return False
 
 
+def _is_named(attrs: list) -> bool:
+    """Whether the class or id has a word of boilerplate."""
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for token in value.lower().split():
+                words = WORD.findall(token)
+                if words and words[0] not in PROPERTY and not SIDE_WORDS.isdisjoint(words):
+                    return True
+    return False
+
+
 def threshold(values: np.ndarray) -> float:
     """The middle between the two means of the values (starting from the extremes)."""
     low, high = float(values.min()), float(values.max())
@@ -152,16 +173,14 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    side = np.array([x[4] for x in lines])
-    if side.all():
+    hard = np.array([x[4] for x in lines])
+    if hard.all():
         return ""
     size = np.array([len(x[1]) for x in lines], float)
     plain = np.maximum(size - [x[2] for x in lines], 0)
-    ratio = np.where(side, 0.0, plain / np.maximum([x[3] for x in lines], 1))
-    smooth = np.convolve(np.pad(ratio, RADIUS, mode="edge"), KERNEL, mode="valid")
-    # a line counts by itself or by its neighbours, a dense paragraph is not thinned by short ones
-    level = np.maximum(smooth, np.minimum(ratio, smooth.max()))
-    dense = (level >= threshold(level[~side])) & ~side
+    ratio = plain / np.maximum([x[3] for x in lines], 1)
+    side = hard | _named(parser, plain, hard)
+    dense = _dense(ratio, side)
     regions: dict[int, list[float]] = {}
     for (region, *_), n, d, s in zip(lines, plain, dense, side):
         if not s:
@@ -173,7 +192,37 @@ def main_text(html: str | None) -> str:
         kept = _within(parser, kept)
     if not kept:
         kept = {max(regions, key=lambda r: regions[r][0])}
-    return "\n".join(x[1] for x in lines if x[0] in kept and not x[4])
+    return "\n".join(x[1] for x, s in zip(lines, side) if x[0] in kept and not s)
+
+
+def _dense(ratio: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which lines are dense, by clustering of the smoothed ratios; those of ``side`` have ratio 0 and are not."""
+    ratio = np.where(side, 0.0, ratio)
+    smooth = np.convolve(np.pad(ratio, RADIUS, mode="edge"), KERNEL, mode="valid")
+    # a line counts by itself or by its neighbours, a dense paragraph is not thinned by short ones
+    level = np.maximum(smooth, np.minimum(ratio, smooth.max()))
+    return (level >= threshold(level[~side])) & ~side
+
+
+def _named(parser: Lines, plain: np.ndarray, hard: np.ndarray) -> np.ndarray:
+    """Which lines are boilerplate by a class or id around them.
+
+    Where all main elements lie in elements so named, those around the one with most text are
+    wrappers. Without main elements the outermost named ones are wrappers where the rest of the page
+    has less text than they, in lines of less than half their length."""
+    named = [x[5] for x in parser.lines]
+    outer = [parser.outer[x[0]] for x in parser.lines]
+    sizes: dict[int, float] = {}
+    for m, n, h in zip(outer, plain, hard):
+        if m and not h:
+            sizes[m] = sizes.get(m, 0.0) + n
+    if sizes:
+        wrappers = set() if any(not parser.named[m] for m in sizes) else set(parser.named[max(sizes, key=lambda m: sizes[m])])
+        return np.array([bool(set(n) - wrappers if m else n) for n, m in zip(named, outer)])
+    depth = np.array([len(n) for n in named])
+    free = ~hard & (depth == 0)
+    wrapped = 2 * plain[free].sum() < plain[~hard].sum() and 2 * plain[free].max(initial=0.0) < plain[~hard].max()
+    return depth > (depth[~hard & (depth > 0)].min() if wrapped else 0)
 
 
 def _within(parser: Lines, kept: set[int]) -> set[int]:

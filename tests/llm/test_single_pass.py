@@ -198,6 +198,29 @@ def test_html():
     assert len(html_text.main_text("<p>" + "word " * 200_000 + "</p>")) == 999_999
 
 
+LONG = "A paragraph that is long enough to count as text of the article, with many words in it and few tags."
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class='sidebar-left-layout'><div id='rail'><main>", "</main></div></div>"), ("<div id='content' class='no-comments'>", "</div>"), ("<p>Title</p><div class='page comments-open'>", "</div>")],
+)
+def test_html_wrapper_names(before, after):
+    page = f"<body><nav>Home</nav>{before}<p>{LONG}</p><p>{LONG}</p>{after}<div class='related'><article><p>{LONG} Other.</p></article></div><footer>us</footer>"
+    if "article" not in before and "main" not in before:
+        page = page.replace("<article>", "").replace("</article>", "")
+    text = html_text.main_text(page)
+    assert text.count(LONG) >= 2 and "Home" not in text and "us" not in text.split("\n")
+    if "article" in before or "main" in before or "no-" in before:
+        assert text == f"{LONG}\n{LONG}"
+
+
+def test_html_marks_that_stay():
+    page = f"<body><div class='has-rail'><article><p>{LONG}</p><div class='comments'><article><p>{LONG} I say.</p></article></div></article><aside><article><p>{LONG} Aside.</p></article></aside></div>"
+    assert html_text.main_text(page) == LONG
+    assert html_text.main_text(f"<body><div><p>{LONG}</p></div><div id='comments'><p>{LONG} I say.</p><p>{LONG} Me too.</p></div>") == LONG
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = html_text.extract(pages).collect()
