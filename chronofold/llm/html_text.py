@@ -3,11 +3,14 @@
 The events cut a page into lines, one per block element. A line's text-to-tag ratio is its
 characters outside links over its tags. Lines of menus, forms, notices and the like (by element,
 role, class or id; a wrapper's class or id does not mark the article in it) have ratio 0 and are
-never content. The ratios, in page order, are smoothed with a Gaussian; a threshold between the two clusters of smoothed values (two means, in one dimension)
-marks dense lines. Regions are the runs of lines under one sectioning element; a region is content
-where dense lines hold at least half of its text, and then all its lines are kept, so short
-paragraphs and headings of an article stay. Where nothing is dense, the region with most text is
-taken.
+never content. The ratios, in page order, are smoothed with a Gaussian; a threshold between the two
+clusters of smoothed values (two means, in one dimension) marks dense lines. Regions are the runs of
+lines under one sectioning element; a region is content where dense lines hold at least half of its
+text, and then all its lines and those of the regions in it are kept. An outermost article or main
+element is judged as a whole, with all in it that is not boilerplate, so tables, sections, short
+paragraphs and headings stay; where one is chosen, regions before and after are left out. Where no
+such element is dense, the one with most text is taken if dense regions outside have no more; where
+nothing is dense, the region with most text.
 
 Null and empty pages, and those without text, give an empty text; pages of any length are parsed
 whole; repeated rows are parsed each; broken markup is read as far as the parser goes.
@@ -59,8 +62,8 @@ class Lines(HTMLParser):
         # element, region, boilerplate, elements named like boilerplate around it, without text, link
         self.stack: list[tuple[str, int, bool, tuple[int, ...], bool, bool]] = []
         self.lines: list[tuple[int, str, int, int, bool, tuple[int, ...]]] = []
-        self.regions, self.tags, self.linked, self.parts, self.names, self.main = 1, 0, 0, [], 0, set()
-        self.outer, self.named = {0: 0}, {}  # by region: its outermost main element; by that: the named elements around it
+        self.regions, self.tags, self.linked, self.parts, self.names, self.body = 1, 0, 0, [], 0, {0}
+        self.parent, self.outer, self.named = {0: 0}, {0: 0}, {}  # by region: the one around it, its outermost main element; by that: the named elements around it
 
     def flush(self) -> None:
         if self.parts:
@@ -83,12 +86,13 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.flush()
             if tag in SECTION:
+                self.parent[self.regions] = 0 if tag == "body" else region
                 self.outer[self.regions] = self.outer[region]
                 region, self.regions = self.regions, self.regions + 1
-                if tag in MAIN - {"body"}:
-                    self.main.add(region)
-                    if not self.outer[region]:
-                        self.outer[region], self.named[region] = region, named
+                if tag == "body":
+                    self.body.add(region)
+                elif tag in MAIN and not self.outer[region]:
+                    self.outer[region], self.named[region] = region, named
             elif tag == "p" or tag[0] == "h" and tag[1:].isdigit():
                 while self.stack and self.stack[-1][0] in INLINE | {"p"}:  # a block ends an open paragraph
                     self.stack.pop()
@@ -182,14 +186,22 @@ def main_text(html: str | None) -> str:
     side = hard | _named(parser, plain, hard)
     dense = _dense(ratio, side)
     regions: dict[int, list[float]] = {}
+    mains: dict[int, list[float]] = {}
     for (region, *_), n, d, s in zip(lines, plain, dense, side):
         if not s:
-            have = regions.setdefault(region, [0.0, 0.0])
-            have[0] += n
-            have[1] += n * d
-    kept = {r for r, (n, d) in regions.items() if n and (2 * d >= n or r in parser.main)}
-    if parser.main & kept:
-        kept = _within(parser, kept)
+            for have in (regions.setdefault(region, [0.0, 0.0]), mains.setdefault(parser.outer[region], [0.0, 0.0])):
+                have[0] += n
+                have[1] += n * d
+    mains.pop(0, None)
+    thick = {r for r, (n, d) in regions.items() if n and 2 * d >= n and not parser.outer[r]}
+    chosen = {m for m, (n, d) in mains.items() if n and 2 * d >= n}
+    if mains and not chosen:
+        most = max(mains, key=lambda m: mains[m][0])
+        if mains[most][0] >= sum(regions[r][0] for r in thick):
+            chosen = {most}
+    kept = {r for r in regions if _under(parser, r, thick)}
+    if chosen:
+        kept = _within(parser, kept, chosen) | {r for r in regions if parser.outer[r] in chosen}
     if not kept:
         kept = {max(regions, key=lambda r: regions[r][0])}
     return "\n".join(x[1] for x, s in zip(lines, side) if x[0] in kept and not s)
@@ -225,13 +237,23 @@ def _named(parser: Lines, plain: np.ndarray, hard: np.ndarray) -> np.ndarray:
     return depth > (depth[~hard & (depth > 0)].min() if wrapped else 0)
 
 
-def _within(parser: Lines, kept: set[int]) -> set[int]:
-    """Where the page marks its main part, regions that begin before or after it are left out."""
-    first = min(parser.main & kept)
+def _under(parser: Lines, region: int, chosen: set[int]) -> bool:
+    """Whether a region is one of the chosen, or lies in one that is not the whole body."""
+    if region in chosen:
+        return True
+    while region not in parser.body:
+        region = parser.parent[region]
+        if region in chosen and region not in parser.body:
+            return True
+    return False
+
+
+def _within(parser: Lines, kept: set[int], chosen: set[int]) -> set[int]:
+    """Where the page marks its main part, other regions that begin before or after it are left out."""
     order = [x[0] for x in parser.lines]
-    last = max(i for i, r in enumerate(order) if r in parser.main)
-    inside = set(order[order.index(next(r for r in order if r >= first)) : last + 1])
-    return {r for r in kept if r in inside and r >= first}
+    at = [i for i, r in enumerate(order) if parser.outer[r] in chosen]
+    inside = set(order[at[0] : at[-1] + 1])
+    return {r for r in kept if r in inside and r >= min(chosen)}
 
 
 def extract(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -221,6 +221,18 @@ def test_html_marks_that_stay():
     assert html_text.main_text(f"<body><div><p>{LONG}</p></div><div id='comments'><p>{LONG} I say.</p><p>{LONG} Me too.</p></div>") == LONG
 
 
+def test_html_sparse_parts_of_the_article():
+    cells = "".join(f"<tr><td>{i}</td><td>v{i}</td></tr>" for i in range(20))
+    parts = "".join(f"<section><div>part {i}</div></section>" for i in range(12))
+    inner = f"<p>{LONG}</p><p>{LONG}</p><table>{cells}</table>{parts}<div><a href=/x>a source</a></div>"
+    want = [LONG, LONG, *(x for i in range(20) for x in (str(i), f"v{i}")), *(f"part {i}" for i in range(12)), "a source"]
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<body><div>top</div><{tag}>{inner}</{tag}><div>end</div>").split("\n") == want
+    assert html_text.main_text(f"<body><div>{inner}</div>").split("\n") == want
+    assert html_text.main_text(f"<body><main><h1>Title</h1></main><div><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+    assert html_text.main_text(f"<body><article><p>{LONG}</p><p>{LONG}</p></article><article><p>Teaser</p></article>") == f"{LONG}\n{LONG}"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = html_text.extract(pages).collect()
