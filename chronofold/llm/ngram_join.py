@@ -478,10 +478,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the least key of each component."""
-    kept = near_duplicates(docs, key=key, text=text).where(F.col("component_id") == F.col(key)).select(key)
-    rows = docs.join(kept, key, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    return rows.where("_nth = 1").select(*docs.columns)
+    """One row of each component: that with the least key, null keys last.
+
+    Rows are joined by numbers of their own, so rows with null keys take part as all others, rows that repeat
+    a key go only as copies, and rows with null or empty texts, which link with nothing, all stay."""
+    # written, since a number given anew may fall on another row
+    rows = Scratch(docs.sparkSession).table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, key="__row", text=text).select("__row", "component_id")
+    order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("__row").alias("row"))
+    kept = found.join(rows.select("__row", key), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

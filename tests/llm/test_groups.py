@@ -78,6 +78,16 @@ def test_join_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8] and kept.columns == odd_docs.columns
 
 
+def test_one_of_each_by_row(spark, odd_docs):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (3, text("b")), (2, text("c")), (2, text("d")), (2, text("d")), (1, text("c")), (None, None), (None, ""), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("extra")).repartition(3)
+    kept = ngram_join.one_of_each(docs)
+    want = [(None, text("a")), (3, text("b")), (1, text("c")), (2, text("d")), (None, None), (None, ""), (4, ""), (4, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str) and kept.columns == docs.columns
+    assert sorted((str(r.doc_id) for r in ngram_join.one_of_each(odd_docs).collect())) == ["1", "2", "3", "4", "6", "7", "8", "None"]
+
+
 def plain_cut(rows):
     lines = {i: [x.strip(" \t\r") for x in (t or "").split("\n")] for i, t in rows}
     words = lambda x: len(re.split(r"\s+", x)) if x else 0
