@@ -1,14 +1,14 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles with token-combination prefixes.
 
-Tokens are hashes of 4-word shingles; two sets link when 100 * intersection >= 85 * union. Equal sets
-are one node. Tokens are ordered rare first: those that hold more than 1 / 2**16 of all tokens are
+Tokens are hashes of word shingles; two sets link when 100 * intersection >= percent * union (4 words and
+85 unless said otherwise, and so in the examples here). Equal sets are one node. Tokens are ordered rare first: those that hold more than 1 / 2**16 of all tokens are
 frequent and come last, the others in order of their hash. A linked pair shares at least
 ceil(0.85 n) tokens, so among the first p = n - ceil(0.85 n) + 1 of each there is a common one.
 
 Prefixes are extended. A rare token is indexed by itself. Frequent tokens fall in ``CLASSES`` classes
 and are indexed by pairs within a class; a prefix is extended by one token for each class it
 touches, as long as needed for the guarantee (two prefixes that share no rare token and at most one
-token of each class share too few tokens in all). Sets of under ``SMALL`` tokens index frequent tokens
+token of each class share too few tokens in all). Sets of under ``small(percent)`` tokens index frequent tokens
 singly; those near that size are indexed both ways, since their partners may lie on either side.
 A further extension (``extra``) prunes: a node whose extended prefix holds fewer tokens shared with
 others than any partner needs is left out before pairs are made.
@@ -43,7 +43,6 @@ SHINGLE = 4
 PERCENT = 85
 FREQUENT_BITS = 16
 CLASSES = 32
-SMALL = 76  # 64 / 0.85 and more: see core()
 LEAST = 64
 BLOOM_BITS = 23
 SKETCH_BITS = 1024
@@ -54,9 +53,19 @@ WORD_BYTES = table_of("20-20 09-0d", invert=True)
 U = np.uint64
 
 
-def needed(n: np.ndarray) -> np.ndarray:
+def needed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The least intersection with any partner."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
+
+
+def alone(percent: int) -> int:
+    """Sets of fewer tokens link with no other: one token more or less is too many."""
+    return -(-percent // (100 - percent))
+
+
+def small(percent: int) -> int:
+    """Sets of at least so many tokens have no partner of fewer than LEAST."""
+    return -(-100 * LEAST // percent)
 
 
 def extra(n: np.ndarray) -> np.ndarray:
@@ -93,7 +102,7 @@ class Sets:
         self.node, self.check = (mix(s[self.first[1:]] - s[self.first[:-1]] + self.n.astype(U)).view(np.int64) for s in sums)
 
 
-def survey(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
+def survey(docs: DataFrame, key: str, text: str, seed: int, shingle: int) -> DataFrame:
     """Kind 0: (key, node, check, set size) of each row; kind 1: (token, count in a part of the input) of tokens
     with a share there that may make them frequent."""
 
@@ -112,7 +121,7 @@ def survey(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
             return rows(1, token.view(np.int64), zero, zero, count)
 
         for batch in (part for whole in batches for part in chunks(whole, text)):
-            sets = Sets(batch.column(text), seed)
+            sets = Sets(batch.column(text), seed, shingle)
             yield rows(0, batch.column(key), sets.node, sets.check, sets.n)
             _, one = np.unique(sets.node, return_index=True)  # copies within the chunk count once
             held.append(sets.token[np.isin(sets.owner, one)])
@@ -124,11 +133,11 @@ def survey(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
     return map_batches(docs.select(F.col(key).cast("long").alias(key), text), run, "kind int, id long, node long, check long, n long")
 
 
-def core(n: int, group: np.ndarray) -> tuple[int, int]:
+def core(n: int, group: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
     """How many tokens of an ordered set are indexed singly whatever their class (for small sets), and how
     many belong to the prefix in which frequent ones are paired. ``group``: class of each token, -1 for rare."""
-    p = n - int(needed(np.int64(n))) + 1
-    single = p if n < SMALL else 0
+    p = n - int(needed(np.int64(n), percent)) + 1
+    single = p if n < small(percent) else 0
     if n < LEAST:
         return single, 0
     length = p
@@ -137,14 +146,14 @@ def core(n: int, group: np.ndarray) -> tuple[int, int]:
     return single, length
 
 
-def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """(token, node, flags) of the extended prefixes; flags: 1 indexed singly, 2 paired within its class."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = known.value
+        often, least = known.value, alone(percent)
         for batch in (part for whole in batches for part in chunks(whole, text)):
-            sets = Sets(batch.column(text), seed)
+            sets = Sets(batch.column(text), seed, shingle)
             at = np.searchsorted(often, sets.token)
             at[at == len(often)] = 0
             common = often[at] == sets.token if len(often) else np.zeros(len(sets.token), bool)
@@ -152,7 +161,7 @@ def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> Dat
             _, one = np.unique(sets.node, return_index=True)
             for d in one.tolist():
                 n = int(sets.n[d])
-                if n < 6:  # a partner of so small a set is equal to it
+                if n < least:  # a partner of so small a set is equal to it
                     continue
                 lo, hi = int(sets.first[d]), int(sets.first[d + 1])
                 token, frequent_here = sets.token[lo:hi], common[lo:hi]
@@ -162,8 +171,8 @@ def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> Dat
                     group = np.where(np.arange(n) < rare, -1, (token % U(CLASSES)).astype(np.int64))
                 else:
                     rare, group = n, np.full(n, -1)
-                single, paired = core(n, group)
-                p = n - int(needed(np.int64(n))) + 1
+                single, paired = core(n, group, percent)
+                p = n - int(needed(np.int64(n), percent)) + 1
                 size = min(n, max(p + int(extra(np.int64(n))), paired))
                 place = np.arange(size)
                 flag = ((place < single) | ((place < paired) & (place < rare))).astype(np.int8) + 2 * ((place < paired) & (place >= rare)).astype(np.int8)
@@ -176,7 +185,7 @@ def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> Dat
     return map_batches(docs.select(text), run, "token long, node long, flags byte")
 
 
-def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray) -> DataFrame:
+def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray, shingle: int) -> DataFrame:
     """(node, tokens, bits, codes) of texts whose node may be in ``bloom``; a node comes once a chunk. ``bits`` has a bit
     for each token's place among SKETCH_BITS, and ``codes`` the tokens' distinct last 16 bits: what only one of two sets
     has of either stands for a token at least that the other lacks."""
@@ -185,7 +194,7 @@ def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray) -> Data
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
         for batch in (part for whole in batches for part in chunks(whole, text)):
-            sets = Sets(batch.column(text), seed)
+            sets = Sets(batch.column(text), seed, shingle)
             _, one = np.unique(sets.node, return_index=True)
             place = sets.node[one] & ((1 << BLOOM_BITS) - 1)
             one = one[(bits[place >> 5] >> (place & 31).astype(np.uint32) & 1) == 1]
@@ -232,20 +241,20 @@ def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return both.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")), "a")
 
 
-def _links(most: Column) -> Column:
-    return 100 * most >= PERCENT * (F.col("na") + F.col("nb") - most)
+def _links(most: Column, percent: int) -> Column:
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
 
-def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) less those whose bits show that too few tokens can be common."""
 
     def only(one: str, two: str) -> Column:
         return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda total, x: total + x)
 
-    return _sides(pairs, sets, "bits").where(_links(_most(only("xa", "xb"), only("xb", "xa")))).select("a", "b")
+    return _sides(pairs, sets, "bits").where(_links(_most(only("xa", "xb"), only("xb", "xa")), percent)).select("a", "b")
 
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, most): those whose codes allow enough common tokens, most as a share; a far closer bound than bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,21 +269,21 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common = np.count_nonzero(has[two])
                 has[one] = False
                 most[i] = min(na[i] - len(one) + common, nb[i] - len(two) + common)
-            good = 100 * most >= PERCENT * (na + nb - most)
+            good = 100 * most >= percent * (na + nb - most)
             share = most / np.maximum(na, nb)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "most"]).filter(pa.array(good))
 
     return _sides(pairs, sets, "codes").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, most double")
 
 
-def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of distinct pairs (a, b) that link, by their whole sets."""
     both = _sides(pairs, sets, "tokens")
-    return both.where(_links(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
+    return both.where(_links(F.size(F.array_intersect("xa", "xb")), percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return exact(likely(plausible(pairs, sets), sets).select("a", "b"), sets)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return exact(likely(plausible(pairs, sets, percent), sets, percent).select("a", "b"), sets, percent)
 
 
 def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,13 +292,13 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def tiled(nodes: DataFrame) -> DataFrame:
+def tiled(nodes: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (a, b) of different components within each cluster of nodes.
 
     ``nodes``: node, n, comp, bits, cluster. A cluster's nodes are dealt by size into buckets, of which only the same
     and adjacent ones can hold pairs, and those into tiles of about TILE. A task compares two tiles' sketches, so no
     cluster lies in one task and no pair becomes a row unless it is plausible."""
-    nodes = nodes.withColumn("bucket", F.floor(F.log("n") / log(100 / PERCENT)).cast("int"))
+    nodes = nodes.withColumn("bucket", F.floor(F.log("n") / log(100 / percent)).cast("int"))
     buckets = nodes.groupBy("cluster", "bucket").agg(F.count("*").alias("m"))
     sizes = buckets.groupBy("cluster").agg(F.ceil(F.max("m") / TILE).cast("int").alias("tiles"), F.sum("m").alias("m"))
     total = sizes.agg(F.sum("m")).first()[0] or 0
@@ -311,9 +320,9 @@ def tiled(nodes: DataFrame) -> DataFrame:
         found = []
         for x in left.tolist():
             y = right[(comp[right] != comp[x]) & ((gap > 0 or i != j) | (right > x))]
-            y = y[100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
-            y = y[100 * most >= PERCENT * (n[x] + n[y] - most)]
+            y = y[100 * most >= percent * (n[x] + n[y] - most)]
             found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
@@ -342,7 +351,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 class Join:
     """One run of the join over (key, text) rows."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str):
+    def __init__(self, docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, percent: int = PERCENT):
+        if shingle < 1 or not 0 < percent < 100:
+            raise ValueError("shingles have at least one word, and percent lies between 0 and 100")
+        self.shingle, self.percent = shingle, percent
         self.docs, self.key, self.text = docs.select(key, text), key, text
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark)
@@ -351,7 +363,7 @@ class Join:
         """(id, node, n) of each row, with the tokens' survey; again with another seed should two sets share a node."""
         for seed in (8, 108, 208):
             self.seed = seed
-            made = self.scratch.table(survey(self.docs, self.key, self.text, seed))
+            made = self.scratch.table(survey(self.docs, self.key, self.text, seed, self.shingle))
             rows = made.where("kind = 0").select("id", "node", "check", "n")
             nodes = rows.where("n > 0").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.count("*").alias("rows"), F.min("id").alias("least"), F.first("n").alias("n"))
             self.nodes = self.scratch.table(nodes)
@@ -369,11 +381,11 @@ class Join:
 
     def members(self) -> DataFrame:
         """(token, node, flags) of nodes that may have a partner."""
-        rows = prefixes(self.docs, self.text, self.seed, self.frequent())
+        rows = prefixes(self.docs, self.text, self.seed, self.frequent(), self.shingle, self.percent)
         found = self.scratch.table(shared(rows, "token").distinct())
         size = self.nodes.select("node", "n")
         for _ in range(2):
-            least = F.expr(f"2 + int(floor(n * {PERCENT} / 100)) div 20 + 1")
+            least = F.expr(f"least(2 + int(floor(n * {self.percent} / 100)) div 20 + 1, int(ceil(n * {self.percent} / 100)))")
             alive = found.groupBy("node").agg(F.count_distinct("token").alias("have")).join(size, "node").where(F.col("have") >= least).select("node")
             before, found = found, self.scratch.table(shared(found.join(alive, "node", "left_semi"), "token"))
             self.scratch.drop(before)
@@ -389,10 +401,9 @@ class Join:
         every = single.unionByName(pairs.select(F.xxhash64("one", "two", F.lit(2)).alias("sig"), "node")).distinct()
         return self.scratch.table(shared(every, "sig").join(self.nodes.select("node", "n"), "node"))
 
-    @staticmethod
-    def fitting(pairs: DataFrame) -> DataFrame:
+    def fitting(self, pairs: DataFrame) -> DataFrame:
         """Distinct (a, b) of pairs with sizes (na, nb) that can link."""
-        ok = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+        ok = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
         return pairs.where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def links(self) -> DataFrame:
@@ -402,13 +413,13 @@ class Join:
         sigs = self.signatures(members)
         drop(members)
         alive = keep(sigs.select("node").distinct())
-        sets = whole_sets(self.docs, self.text, self.seed, bloom_of(alive)).join(alive, "node", "left_semi")
+        sets = whole_sets(self.docs, self.text, self.seed, bloom_of(alive), self.shingle).join(alive, "node", "left_semi")
         sets = keep(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("tokens", "bits", "codes"))))
 
         w = Window.partitionBy("sig")
         centre = F.min(F.struct("node", "n")).over(w)
         pairs = sigs.withColumn("c", centre).select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        edges = keep(verified(self.fitting(pairs), sets))
+        edges = keep(verified(self.fitting(pairs), sets, self.percent))
         labels = components(edges, self.scratch)
 
         left = self.unsettled(sigs, labels, w)
@@ -418,7 +429,7 @@ class Join:
         met = left.withColumn("c", centre).where("c.comp != comp").groupBy("node", "n", "c").agg(F.count("*").alias("entries"))
         best = met.groupBy("node", "n").agg(F.max(F.struct("entries", "c")).alias("m"))
         pairs = self.fitting(best.select(F.col("m.c.node").alias("a"), F.col("m.c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
-        edges = edges.unionByName(keep(verified(pairs, sets)))
+        edges = edges.unionByName(keep(verified(pairs, sets, self.percent)))
         labels = components(edges, self.scratch)
 
         # all pairs that are left, by the bound of their codes; first each node's best, then those still across components
@@ -426,13 +437,13 @@ class Join:
         drop(left)
         pairs = keep(self.all_pairs(rest, w, sets))
         drop(rest)
-        near = keep(likely(pairs, sets))
+        near = keep(likely(pairs, sets, self.percent))
         drop(pairs)
         ends = near.select("a", "b", "most", F.explode(F.array("a", "b")).alias("node"))
         best = ends.groupBy("node").agg(F.max(F.struct("most", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        edges = edges.unionByName(keep(exact(best, sets)))
+        edges = edges.unionByName(keep(exact(best, sets, self.percent)))
         labels = components(edges, self.scratch)
-        more = keep(exact(across(near.select("a", "b"), labels), sets))
+        more = keep(exact(across(near.select("a", "b"), labels), sets, self.percent))
         return components(edges.unionByName(more), self.scratch)
 
     def unsettled(self, sigs: DataFrame, labels: DataFrame, w) -> DataFrame:
@@ -446,9 +457,9 @@ class Join:
         few, many = rest.where(F.col("entry") <= SMALL_ENTRY), rest.where(F.col("entry") > SMALL_ENTRY)
         one = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         two = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = plausible(self.fitting(one.join(two, "sig").where(F.col("ca") < F.col("cb"))), sets)
+        pairs = plausible(self.fitting(one.join(two, "sig").where(F.col("ca") < F.col("cb"))), sets, self.percent)
         if not many.isEmpty():
-            pairs = pairs.unionByName(tiled(self.clusters(many, w, sets)))
+            pairs = pairs.unionByName(tiled(self.clusters(many, w, sets), self.percent))
         return pairs.distinct()
 
     def clusters(self, many: DataFrame, w, sets: DataFrame) -> DataFrame:
@@ -472,19 +483,20 @@ class Join:
         return out.select(F.col("id").alias(self.key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of each row; the component is named by its least key."""
-    return Join(docs, key, text).result()
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id) of each row; the component is named by its least key. Sets of shingles of
+    ``shingle`` words link at a Jaccard similarity of ``percent`` (1 to 99) hundredths."""
+    return Join(docs, key, text, shingle, percent).result()
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of each component: that with the least key, null keys last.
 
     Rows are joined by numbers of their own, so rows with null keys take part as all others, rows that repeat
     a key go only as copies, and rows with null or empty texts, which link with nothing, all stay."""
     # written, since a number given anew may fall on another row
     rows = Scratch(docs.sparkSession).table(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, key="__row", text=text).select("__row", "component_id")
+    found = near_duplicates(rows, key="__row", text=text, shingle=shingle, percent=percent).select("__row", "component_id")
     order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("__row").alias("row"))
     kept = found.join(rows.select("__row", key), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
     return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)

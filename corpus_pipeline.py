@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of near-duplicates: 0.8 of the shingles of five words."""
+    return ngram_join.one_of_each(docs, shingle=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,36 @@ def test_join_is_exact(spark, monkeypatch, seed, frequent_bits, small_entry):
     assert sorted(tuple(r) for r in got) == plain_components(rows)
 
 
+def plain_components_of(rows, k, percent):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for i, t in rows}
+    sets = {i: frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset() for i, w in words.items()}
+    comp = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = {x: low if c == high else c for x, c in comp.items()}
+    return sorted((i, len(s), comp[i]) for i, s in sets.items())
+
+
+@pytest.mark.parametrize("seed, shingle, percent", [(5, 5, 80), (6, 2, 50)])
+def test_join_is_exact_for_other_values(spark, monkeypatch, seed, shingle, percent):
+    monkeypatch.setattr(ngram_join, "FREQUENT_BITS", 6)
+    monkeypatch.setattr(ngram_join, "SMALL_ENTRY", 4)
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    rows = copies(seed, 160) + [(1000 + i, " ".join(f"s{j}" for j in range(i))) for i in range(1, 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_duplicates(docs, shingle=shingle, percent=percent).collect()
+    assert sorted(tuple(r) for r in got) == plain_components_of(rows, shingle, percent)
+
+
+def test_pipeline_near_copies_by_five_words(spark, small):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + [f"x{i}" for i in range(66)])), (3, " ".join(base + [f"y{i}" for i in range(90)]))]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), small)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_join_odd_rows(spark, odd_docs, no_docs):
     got = sorted((tuple(r) for r in ngram_join.near_duplicates(odd_docs).collect()), key=str)
     assert len(got) == 10
