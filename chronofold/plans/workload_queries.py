@@ -197,7 +197,7 @@ def _fields_sql(key: str, which=range(10)) -> str:
 @query(f"SELECT c_custkey, {_fields_sql('c_custkey')} FROM customer WHERE c_custkey % 17 = 3")
 def ycsb_read(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "customer").select("c_custkey", *_fields("c_custkey"))
-    wanted = spark.range(3, 20_000, 17).select(F.col("id").alias("c_custkey"))
+    wanted = table(spark, d, "customer").select("c_custkey").where("c_custkey % 17 = 3")
     return users.join(wanted, "c_custkey", "left_semi")
 
 
