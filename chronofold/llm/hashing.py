@@ -1,7 +1,7 @@
 """Vectorised word and n-gram hashes over UTF-8 bytes.
 
 A word's hash is a polynomial in the ring of integers modulo 2**64 over a random value of each
-byte, taken from one running sum over the whole chunk: the difference of two sums times the
+byte, taken from one running sum over a block of whole words: the difference of two sums times the
 inverse power of the word's start. It depends on the word alone, not on where it stands.
 """
 
@@ -13,6 +13,8 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = U(0xD1342543DE82EF95)
+#: Bytes hashed with one table of powers, and the longest table that is kept.
+BLOCK, KEPT = 1 << 18, 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -33,13 +35,17 @@ def byte_values(seed: int = 1) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, below ``n``."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, U(b))
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse, below ``n``; tables beyond KEPT are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for b in (_BASE, _INVERSE):
+        steps = np.full(max(n, BLOCK + 1), U(b))
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if n <= KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 class Words:
@@ -52,11 +58,19 @@ class Words:
             edge = np.concatenate([[0], edge])
         self.starts, self.ends = edge[::2], edge[1::2]  # every text ends with a line feed, which is in no word
         self.first = np.searchsorted(self.starts, bounds)
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U)
-        np.cumsum(values[data] * up[:-1], out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        self.hashes = mix(raw ^ (self.ends - self.starts).astype(U) * _STEP)
+        self.hashes = np.empty(len(self.starts), U)
+        lo = 0
+        while lo < len(self.starts):  # in blocks of whole words, so that a long text needs no long table
+            begin = int(self.starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.ends, begin + BLOCK, side="right")))
+            stop = int(self.ends[hi - 1])
+            up, down = powers(stop - begin + 1)
+            sums = np.zeros(stop - begin + 1, U)
+            np.cumsum(values[data[begin:stop]] * up[:-1], out=sums[1:])
+            starts, ends = self.starts[lo:hi] - begin, self.ends[lo:hi] - begin
+            raw = (sums[ends] - sums[starts]) * down[starts]
+            self.hashes[lo:hi] = mix(raw ^ (ends - starts).astype(U) * _STEP)
+            lo = hi
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -47,7 +47,10 @@ LEAST = 64
 BLOOM_BITS = 23
 SKETCH_BITS = 1024
 SMALL_ENTRY = 64
-TILE = 128
+TILE = 512
+#: Bytes of text hashed at once, which fit a core's cache.
+CHUNK = 1 << 19
+SEEN = 1 << 19
 #: The bytes of words are all but ASCII white space.
 WORD_BYTES = table_of("20-20 09-0d", invert=True)
 U = np.uint64
@@ -79,28 +82,48 @@ class Sets:
     def __init__(self, texts: pa.Array, seed: int, k: int = SHINGLE):
         words = Words(*joined(texts), WORD_BYTES, byte_values(seed))
         counts = words.counts()
-        parts, owners = [], []
-        for n in range(1, k + 1):
-            at = starts_of(words.first, n)
-            owner = np.repeat(np.arange(len(counts)), np.maximum(counts - n + 1, 0))
-            if n < k:  # the whole sequence of a short text
-                own = counts[owner] == n
-                at, owner = at[own], owner[own]
-            if len(at):
-                parts.append(grams(words.hashes, n)[at])
-                owners.append(owner)
-        token = np.concatenate(parts) if parts else np.zeros(0, U)
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
+        made = np.maximum(counts - k + 1, np.minimum(counts, 1))  # fewer words than k are one shingle
+        ends = np.concatenate([[0], np.cumsum(made)])
+        token = np.empty(ends[-1], U)
+        short = np.flatnonzero((counts > 0) & (counts < k)).tolist()
+        whole = np.ones(len(token), bool)
+        whole[ends[short]] = False
+        if whole.any():
+            token[whole] = grams(words.hashes, k)[starts_of(words.first, k)]
+        for d in short:
+            token[ends[d]] = grams(words.hashes[words.first[d] : words.first[d + 1]], int(counts[d]))[0]
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            token[lo:hi].sort()
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        self.token, self.owner = token[new], owner[new]
-        self.first = np.searchsorted(self.owner, np.arange(len(counts) + 1))
+        new[1:] = token[1:] != token[:-1]
+        new[ends[:-1][made > 0]] = True
+        self.token = token[new]
+        self.first = np.concatenate([[0], np.cumsum(new)])[ends]
         self.n = np.diff(self.first)
         sums = [np.concatenate([[U(0)], np.cumsum(mix(self.token ^ U(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
         self.node, self.check = (mix(s[self.first[1:]] - s[self.first[:-1]] + self.n.astype(U)).view(np.int64) for s in sums)
 
+    def ranges(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the tokens of some rows."""
+        n = self.n[rows]
+        return np.arange(int(n.sum())) + np.repeat(self.first[rows] - (np.cumsum(n) - n), n)
+
+
+class Fresh:
+    """Nodes that a task has met, so that copies count once; emptied at SEEN nodes, after which a copy may count again."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, node: np.ndarray) -> np.ndarray:
+        """The first place of each node that is new."""
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        found, at = np.unique(node, return_index=True)
+        new = [i for x, i in zip(found.tolist(), at.tolist()) if x not in self.seen]
+        self.seen.update(found.tolist())
+        return np.array(sorted(new), np.int64)
+
 
 def survey(docs: DataFrame, key: str, text: str, seed: int, shingle: int) -> DataFrame:
     """Kind 0: (key, node, check, set size) of each row; kind 1: (token, count in a part of the input) of tokens
@@ -108,6 +131,7 @@ def survey(docs: DataFrame, key: str, text: str, seed: int, shingle: int) -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        fresh = Fresh()
 
         def rows(kind: int, *columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c, pa.int64()) for c in columns)], names=["kind", "id", "node", "check", "n"])
@@ -120,11 +144,10 @@ def survey(docs: DataFrame, key: str, text: str, seed: int, shingle: int) -> Dat
             zero = np.zeros(len(token), np.int64)
             return rows(1, token.view(np.int64), zero, zero, count)
 
-        for batch in (part for whole in batches for part in chunks(whole, text)):
+        for batch in (part for whole in batches for part in chunks(whole, text, CHUNK)):
             sets = Sets(batch.column(text), seed, shingle)
             yield rows(0, batch.column(key), sets.node, sets.check, sets.n)
-            _, one = np.unique(sets.node, return_index=True)  # copies within the chunk count once
-            held.append(sets.token[np.isin(sets.owner, one)])
+            held.append(sets.token[sets.ranges(fresh(sets.node))])
             if sum(map(len, held)) > 4_000_000:
                 yield frequent()
         if held:
@@ -151,31 +174,31 @@ def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray, shingl
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, least = known.value, alone(percent)
-        for batch in (part for whole in batches for part in chunks(whole, text)):
+        often, least, fresh = known.value, alone(percent), Fresh()
+        for batch in (part for whole in batches for part in chunks(whole, text, CHUNK)):
             sets = Sets(batch.column(text), seed, shingle)
             at = np.searchsorted(often, sets.token)
             at[at == len(often)] = 0
             common = often[at] == sets.token if len(often) else np.zeros(len(sets.token), bool)
             tokens, nodes, flags = [], [], []
-            _, one = np.unique(sets.node, return_index=True)
-            for d in one.tolist():
+            for d in fresh(sets.node).tolist():
                 n = int(sets.n[d])
                 if n < least:  # a partner of so small a set is equal to it
                     continue
                 lo, hi = int(sets.first[d]), int(sets.first[d + 1])
                 token, frequent_here = sets.token[lo:hi], common[lo:hi]
+                p = n + 1 + (-percent * n // 100)
                 if frequent_here.any():
                     token = np.concatenate([token[~frequent_here], token[frequent_here]])
                     rare = n - int(frequent_here.sum())
                     group = np.where(np.arange(n) < rare, -1, (token % U(CLASSES)).astype(np.int64))
+                    single, paired = core(n, group, percent)
                 else:
-                    rare, group = n, np.full(n, -1)
-                single, paired = core(n, group, percent)
-                p = n - int(needed(np.int64(n), percent)) + 1
-                size = min(n, max(p + int(extra(np.int64(n))), paired))
-                place = np.arange(size)
-                flag = ((place < single) | ((place < paired) & (place < rare))).astype(np.int8) + 2 * ((place < paired) & (place >= rare)).astype(np.int8)
+                    rare, single, paired = n, p if n < small(percent) else 0, p if n >= LEAST else 0
+                size = min(n, max(p + 2 + n // 20, paired))
+                flag = np.zeros(size, np.int8)
+                flag[: max(single, min(paired, rare))] = 1
+                flag[rare:paired] += 2
                 tokens.append(token[:size])
                 nodes.append(np.full(size, sets.node[d]))
                 flags.append(flag)
@@ -186,16 +209,16 @@ def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray, shingl
 
 
 def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray, shingle: int) -> DataFrame:
-    """(node, tokens, bits, codes) of texts whose node may be in ``bloom``; a node comes once a chunk. ``bits`` has a bit
+    """(node, tokens, bits, codes) of texts whose node may be in ``bloom``; a node comes about once a task. ``bits`` has a bit
     for each token's place among SKETCH_BITS, and ``codes`` the tokens' distinct last 16 bits: what only one of two sets
     has of either stands for a token at least that the other lacks."""
     known = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
-        for batch in (part for whole in batches for part in chunks(whole, text)):
+        bits, fresh = known.value, Fresh()
+        for batch in (part for whole in batches for part in chunks(whole, text, CHUNK)):
             sets = Sets(batch.column(text), seed, shingle)
-            _, one = np.unique(sets.node, return_index=True)
+            one = fresh(sets.node)
             place = sets.node[one] & ((1 << BLOOM_BITS) - 1)
             one = one[(bits[place >> 5] >> (place & 31).astype(np.uint32) & 1) == 1]
             if len(one):
@@ -223,10 +246,19 @@ def bloom_of(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-def shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows whose ``by`` value has more than one node."""
-    w = Window.partitionBy(by)
-    return rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo != hi").drop("lo", "hi")
+def shared(rows: DataFrame) -> DataFrame:
+    """(token, node, flags) of tokens that more than one node has, each once. Frequent ones are taken for such, so no
+    window holds a hot token's rows."""
+    w = Window.partitionBy("token")
+    rare = rows.where("flags < 2").withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo != hi").drop("lo", "hi")
+    return rare.unionByName(rows.where("flags >= 2")).distinct()
+
+
+def by_entry(rows: DataFrame, several: str, *aggregates: Column) -> DataFrame:
+    """``rows`` (sig, ...) with aggregates of their entry, of entries with more than one value of ``several``; a join, so
+    that a hot entry's rows can be split."""
+    found = rows.groupBy("sig").agg(F.min(several).alias("__lo"), F.max(several).alias("__hi"), F.count("*").alias("entry"), *aggregates)
+    return rows.join(found.where("__lo != __hi").drop("__lo", "__hi"), "sig")
 
 
 def _most(a_only: Column, b_only: Column) -> Column:
@@ -256,24 +288,9 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, most): those whose codes allow enough common tokens, most as a share; a far closer bound than bits."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = np.zeros(1 << 16, bool)
-        for batch in batches:
-            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            (va, ea), (vb, eb) = ((x.values.to_numpy().view(np.uint16), x.offsets.to_numpy()) for x in (batch.column("xa"), batch.column("xb")))
-            most = np.zeros(batch.num_rows, np.int64)
-            for i in range(batch.num_rows):
-                one, two = va[ea[i] : ea[i + 1]], vb[eb[i] : eb[i + 1]]
-                has[one] = True
-                common = np.count_nonzero(has[two])
-                has[one] = False
-                most[i] = min(na[i] - len(one) + common, nb[i] - len(two) + common)
-            good = 100 * most >= percent * (na + nb - most)
-            share = most / np.maximum(na, nb)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "most"]).filter(pa.array(good))
-
-    return _sides(pairs, sets, "codes").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, most double")
+    both = _sides(pairs, sets, "codes").withColumn("common", F.size(F.array_intersect("xa", "xb")))
+    most = _most(F.size("xa") - F.col("common"), F.size("xb") - F.col("common"))
+    return both.withColumn("least", most).where(_links(F.col("least"), percent)).select("a", "b", (F.col("least") / F.greatest("na", "nb")).alias("most"))
 
 
 def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -382,24 +399,26 @@ class Join:
     def members(self) -> DataFrame:
         """(token, node, flags) of nodes that may have a partner."""
         rows = prefixes(self.docs, self.text, self.seed, self.frequent(), self.shingle, self.percent)
-        found = self.scratch.table(shared(rows, "token").distinct())
-        size = self.nodes.select("node", "n")
-        for _ in range(2):
-            least = F.expr(f"least(2 + int(floor(n * {self.percent} / 100)) div 20 + 1, int(ceil(n * {self.percent} / 100)))")
-            alive = found.groupBy("node").agg(F.count_distinct("token").alias("have")).join(size, "node").where(F.col("have") >= least).select("node")
-            before, found = found, self.scratch.table(shared(found.join(alive, "node", "left_semi"), "token"))
-            self.scratch.drop(before)
-        return found
+        found = self.scratch.table(shared(rows))
+        least = F.expr(f"least(2 + int(floor(n * {self.percent} / 100)) div 20 + 1, int(ceil(n * {self.percent} / 100)))")
+        alive = found.groupBy("node").agg(F.count("*").alias("have")).join(self.nodes.select("node", "n"), "node").where(F.col("have") >= least).select("node")
+        left = self.scratch.table(shared(found.join(alive, "node", "left_semi")))
+        self.scratch.drop(found)
+        return left
 
     def signatures(self, members: DataFrame) -> DataFrame:
-        """(sig, node, n): single tokens, and pairs of frequent ones within their class, that several nodes have."""
+        """(sig, node, n, entry, c): single tokens, and pairs of frequent ones within their class, that several nodes
+        have; entry: their number, c: (node, n) of the first."""
         single = members.where(F.col("flags").bitwiseAND(1) != 0).select(F.xxhash64("token").alias("sig"), "node")
         paired = members.where(F.col("flags").bitwiseAND(2) != 0).withColumn("class", F.expr(f"pmod(token, {CLASSES})"))
         sets = paired.groupBy("node", "class").agg(F.array_sort(F.collect_set("token")).alias("t"))
         places = sets.select("node", "t", F.posexplode("t").alias("i", "one"))
         pairs = places.select("node", "one", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("two"))
         every = single.unionByName(pairs.select(F.xxhash64("one", "two", F.lit(2)).alias("sig"), "node")).distinct()
-        return self.scratch.table(shared(every, "sig").join(self.nodes.select("node", "n"), "node"))
+        every = self.scratch.table(every.join(self.nodes.select("node", "n"), "node"))
+        found = self.scratch.table(by_entry(every, "node", F.min(F.struct("node", "n")).alias("c")))
+        self.scratch.drop(every)
+        return found
 
     def fitting(self, pairs: DataFrame) -> DataFrame:
         """Distinct (a, b) of pairs with sizes (na, nb) that can link."""
@@ -416,26 +435,23 @@ class Join:
         sets = whole_sets(self.docs, self.text, self.seed, bloom_of(alive), self.shingle).join(alive, "node", "left_semi")
         sets = keep(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("tokens", "bits", "codes"))))
 
-        w = Window.partitionBy("sig")
-        centre = F.min(F.struct("node", "n")).over(w)
-        pairs = sigs.withColumn("c", centre).select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+        pairs = sigs.select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
         edges = keep(verified(self.fitting(pairs), sets, self.percent))
         labels = components(edges, self.scratch)
 
-        left = self.unsettled(sigs, labels, w)
-        drop(sigs)
         # each node meets the centre of another component that it shares most entries with
-        centre = F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit("centre"))).over(w)
-        met = left.withColumn("c", centre).where("c.comp != comp").groupBy("node", "n", "c").agg(F.count("*").alias("entries"))
+        left = self.unsettled(sigs, labels, F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit("centre"))).alias("c"))
+        drop(sigs)
+        met = left.where("c.comp != comp").groupBy("node", "n", "c").agg(F.count("*").alias("entries"))
         best = met.groupBy("node", "n").agg(F.max(F.struct("entries", "c")).alias("m"))
         pairs = self.fitting(best.select(F.col("m.c.node").alias("a"), F.col("m.c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
         edges = edges.unionByName(keep(verified(pairs, sets, self.percent)))
         labels = components(edges, self.scratch)
 
         # all pairs that are left, by the bound of their codes; first each node's best, then those still across components
-        rest = self.unsettled(left.select("sig", "node", "n"), labels, w)
+        rest = self.unsettled(left, labels, F.min("node").alias("first"))
         drop(left)
-        pairs = keep(self.all_pairs(rest, w, sets))
+        pairs = keep(self.all_pairs(rest, sets))
         drop(rest)
         near = keep(likely(pairs, sets, self.percent))
         drop(pairs)
@@ -446,25 +462,24 @@ class Join:
         more = keep(exact(across(near.select("a", "b"), labels), sets, self.percent))
         return components(edges.unionByName(more), self.scratch)
 
-    def unsettled(self, sigs: DataFrame, labels: DataFrame, w) -> DataFrame:
-        """(sig, node, n, comp, entry) of index entries whose nodes lie in several components; entry: their number."""
-        named = sigs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = named.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("entry", F.count("*").over(w))
-        return self.scratch.table(named.where("lo != hi").drop("lo", "hi"))
+    def unsettled(self, sigs: DataFrame, labels: DataFrame, *aggregates: Column) -> DataFrame:
+        """(sig, node, n, comp, entry, aggregates) of index entries whose nodes lie in several components; entry: their number."""
+        named = sigs.select("sig", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return self.scratch.table(by_entry(named, "comp", *aggregates))
 
-    def all_pairs(self, rest: DataFrame, w, sets: DataFrame) -> DataFrame:
+    def all_pairs(self, rest: DataFrame, sets: DataFrame) -> DataFrame:
         """Distinct plausible pairs across components within all entries of ``rest``."""
         few, many = rest.where(F.col("entry") <= SMALL_ENTRY), rest.where(F.col("entry") > SMALL_ENTRY)
         one = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         two = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
         pairs = plausible(self.fitting(one.join(two, "sig").where(F.col("ca") < F.col("cb"))), sets, self.percent)
         if not many.isEmpty():
-            pairs = pairs.unionByName(tiled(self.clusters(many, w, sets), self.percent))
+            pairs = pairs.unionByName(tiled(self.clusters(many, sets), self.percent))
         return pairs.distinct()
 
-    def clusters(self, many: DataFrame, w, sets: DataFrame) -> DataFrame:
+    def clusters(self, many: DataFrame, sets: DataFrame) -> DataFrame:
         """Nodes of large entries, each once, with the cluster of entries that share nodes."""
-        star = many.select(F.min("node").over(w).alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+        star = many.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
         named = components(self.scratch.table(star), self.scratch).withColumnRenamed("comp", "cluster")
         nodes = many.select("node", "n", "comp").distinct()
         return self.scratch.table(nodes.join(named, "node").join(sets.select("node", "bits"), "node"))
@@ -475,8 +490,9 @@ class Join:
         labels = self.links() if self.total else None
         info = self.nodes.select("node", "rows", "least")
         if labels is not None:
-            named = info.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            info = named.withColumn("least", F.min("least").over(Window.partitionBy("comp"))).select("node", "rows", "least")
+            named = info.join(labels, "node").groupBy("comp").agg(F.min("least").alias("whole"))
+            named = labels.join(named, "comp").select("node", "whole")
+            info = info.join(named, "node", "left").select("node", "rows", F.coalesce("whole", "least").alias("least"))
         info = self.scratch.table(info)
         linked = join_hot(rows.where("n > 0"), info, "node", "rows", self.n_rows)
         out = linked.select("id", "n", F.col("least").alias("component_id")).unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
