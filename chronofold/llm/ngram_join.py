@@ -1,9 +1,10 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles with token-combination prefixes.
 
 Tokens are hashes of word shingles; two sets link when 100 * intersection >= percent * union (4 words and
-85 unless said otherwise, and so in the examples here). Equal sets are one node. Tokens are ordered rare first: those that hold more than 1 / 2**16 of all tokens are
-frequent and come last, the others in order of their hash. A linked pair shares at least
-ceil(0.85 n) tokens, so among the first p = n - ceil(0.85 n) + 1 of each there is a common one.
+85 unless said otherwise, and so in the examples here). Equal sets are one node. Tokens are ordered
+rare first: those that hold more than 1 / 2**16 of all tokens are frequent and come last, the others
+in order of their hash. A linked pair shares at least ceil(0.85 n) tokens, so among the first
+p = n - ceil(0.85 n) + 1 of each there is a common one.
 
 Prefixes are extended. A rare token is indexed by itself. Frequent tokens fall in ``CLASSES`` classes
 and are indexed by pairs within a class; a prefix is extended by one token for each class it
@@ -13,11 +14,11 @@ singly; those near that size are indexed both ways, since their partners may lie
 A further extension (``extra``) prunes: a node whose extended prefix holds fewer tokens shared with
 others than any partner needs is left out before pairs are made.
 
-Pairs are verified on whole sets. Connected groups need no pair twice: first every node of an index
-entry is compared with one centre, entries that still lie in several components get another centre,
-and at last all pairs across components of such entries are compared: those of small entries by a
-join, those of large ones in clusters, tile by tile on sketches, where only pairs that may link become
-rows. So no link between components is lost and no group is expanded into all its pairs.
+Pairs are verified on whole sets, after bounds by sketches. Connected groups need no pair twice: first
+every node meets the centre that it shares most index entries with, then one centre of another
+component, and at last all pairs across components of entries that still lie in several are compared:
+those of small entries by a join, those of large ones in clusters, tile by tile, where only pairs that
+may link become rows. So no link between components is lost and no group is expanded into all its pairs.
 
 Null and empty texts have an empty set and link with nothing; fewer than 4 words are one shingle;
 texts of any length are whole; repeated rows and copies share their node; only the id and text
@@ -48,6 +49,7 @@ BLOOM_BITS = 23
 SKETCH_BITS = 1024
 SMALL_ENTRY = 64
 TILE = 512
+TILE_CODES = 1 << 20
 #: Bytes of text hashed at once, which fit a core's cache.
 CHUNK = 1 << 19
 SEEN = 1 << 19
@@ -287,10 +289,10 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, most): those whose codes allow enough common tokens, most as a share; a far closer bound than bits."""
+    """Those whose codes allow enough common tokens; a far closer bound than bits."""
     both = _sides(pairs, sets, "codes").withColumn("common", F.size(F.array_intersect("xa", "xb")))
     most = _most(F.size("xa") - F.col("common"), F.size("xb") - F.col("common"))
-    return both.withColumn("least", most).where(_links(F.col("least"), percent)).select("a", "b", (F.col("least") / F.greatest("na", "nb")).alias("most"))
+    return both.withColumn("least", most).where(_links(F.col("least"), percent)).select("a", "b")
 
 
 def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -300,48 +302,54 @@ def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return exact(likely(plausible(pairs, sets, percent), sets, percent).select("a", "b"), sets, percent)
-
-
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose nodes lie in different components; a node without a label is its own."""
-    named = pairs.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+    return exact(likely(plausible(pairs, sets, percent), sets, percent), sets, percent)
 
 
 def tiled(nodes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) of different components within each cluster of nodes.
+    """Likely pairs (a, b) of different components within each cluster of nodes.
 
-    ``nodes``: node, n, comp, bits, cluster. A cluster's nodes are dealt by size into buckets, of which only the same
-    and adjacent ones can hold pairs, and those into tiles of about TILE. A task compares two tiles' sketches, so no
-    cluster lies in one task and no pair becomes a row unless it is plausible."""
+    ``nodes``: node, n, comp, bits, codes, cluster. A cluster's nodes are dealt by size into buckets, of which only the same
+    and adjacent ones can hold pairs, and those into tiles of at most about TILE nodes and TILE_CODES codes. A task compares
+    two tiles, first by bits and then by codes, so no cluster lies in one task and no pair becomes a row unless it is likely."""
     nodes = nodes.withColumn("bucket", F.floor(F.log("n") / log(100 / percent)).cast("int"))
-    buckets = nodes.groupBy("cluster", "bucket").agg(F.count("*").alias("m"))
-    sizes = buckets.groupBy("cluster").agg(F.ceil(F.max("m") / TILE).cast("int").alias("tiles"), F.sum("m").alias("m"))
+    buckets = nodes.groupBy("cluster", "bucket").agg(F.count("*").alias("m"), F.sum(F.size("codes")).alias("size"))
+    tiles = F.ceil(F.greatest(F.col("m") / TILE, F.col("size") / TILE_CODES)).cast("int")
+    # a map of at most some hundred buckets, since their sizes rise by a factor
+    sizes = buckets.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("bucket", tiles.alias("tiles")))).alias("tiles"), F.sum("m").alias("m"))
     total = sizes.agg(F.sum("m")).first()[0] or 0
     dealt = join_hot(nodes, sizes, "cluster", "m", total).drop("m")
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")[F.col("bucket")]).cast("int"))
+    dealt = dealt.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("others", F.col("tiles")[F.col("bucket") + F.col("step")])
+    dealt = dealt.where("others is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     # the lower bucket's tile is i, and within one bucket the lower tile
     swap = (F.col("step") == -1) | ((F.col("step") == 0) & (F.col("other") < F.col("tile")))
     dealt = dealt.select(
         "cluster", F.least("bucket", F.col("bucket") + F.col("step")).alias("low"), F.abs("step").alias("gap"),
-        F.when(swap, F.col("other")).otherwise(F.col("tile")).alias("i"), F.when(swap, F.col("tile")).otherwise(F.col("other")).alias("j"), "bucket", "tile", "node", "n", "comp", "bits",
+        F.when(swap, F.col("other")).otherwise(F.col("tile")).alias("i"), F.when(swap, F.col("tile")).otherwise(F.col("other")).alias("j"), "bucket", "tile", "node", "n", "comp", "bits", "codes",
     )
 
     def compare(group: pa.Table) -> pa.Table:
         bucket, tile, node, n, comp = (group.column(c).to_numpy() for c in ("bucket", "tile", "node", "n", "comp"))
         bits = np.stack(group.column("bits").to_numpy()).view(U)
+        codes = [np.asarray(c).view(np.uint16) for c in group.column("codes").to_numpy()]
         low, gap, i, j = (group.column(c)[0].as_py() for c in ("low", "gap", "i", "j"))
         left, right = np.flatnonzero((bucket == low) & (tile == i)), np.flatnonzero((bucket == low + gap) & (tile == j))
-        found = []
+        has, found = np.zeros(1 << 16, bool), []
         for x in left.tolist():
             y = right[(comp[right] != comp[x]) & ((gap > 0 or i != j) | (right > x))]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
             y = y[100 * most >= percent * (n[x] + n[y] - most)]
-            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            if not len(y):
+                continue
+            has[codes[x]] = True
+            for z in y.tolist():
+                common = int(np.count_nonzero(has[codes[z]]))
+                most = min(int(n[x]) - len(codes[x]), int(n[z]) - len(codes[z])) + common
+                if 100 * most >= percent * (int(n[x]) + int(n[z]) - most):
+                    found.append((min(node[x], node[z]), max(node[x], node[z])))
+            has[codes[x]] = False
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return dealt.groupBy("cluster", "low", "gap", "i", "j").applyInArrow(compare, "a long, b long")
@@ -351,18 +359,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the least node that each node of ``edges`` is connected with.
 
     Every round maps the edges to components and hooks each component to the least of its neighbours."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = nodes.select("node", F.col("node").alias("comp"))
+    labels = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("comp"), F.least("a", "m").alias("up"))
         hop = parent.select(F.col("comp").alias("up"), F.col("up").alias("upper"))
         parent = scratch.table(parent.join(hop, "up", "left").select("comp", F.coalesce("upper", "up").alias("up")))
-        labels = scratch.table(labels.join(parent, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        if labels is None:
+            labels = parent.select(F.col("comp").alias("node"), F.col("up").alias("comp"))
+        else:
+            labels = labels.join(parent, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
         pa_, pb = parent.select(F.col("comp").alias("a"), F.col("up").alias("ua")), parent.select(F.col("comp").alias("b"), F.col("up").alias("ub"))
-        edges = scratch.table(edges.join(pa_, "a", "left").join(pb, "b", "left").select(F.coalesce("ua", "a").alias("a"), F.coalesce("ub", "b").alias("b")).where("a != b").distinct())
+        edges = scratch.table(edges.join(pa_, "a").join(pb, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")).where("a != b").distinct())
         if edges.isEmpty():
-            return labels
+            return scratch.table(labels)
 
 
 class Join:
@@ -435,32 +445,26 @@ class Join:
         sets = whole_sets(self.docs, self.text, self.seed, bloom_of(alive), self.shingle).join(alive, "node", "left_semi")
         sets = keep(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("tokens", "bits", "codes"))))
 
-        pairs = sigs.select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        edges = keep(verified(self.fitting(pairs), sets, self.percent))
+        # first each node meets the centre that it shares most entries with, then one of another component, and then all that are left
+        edges = keep(verified(self.best(sigs), sets, self.percent))
         labels = components(edges, self.scratch)
-
-        # each node meets the centre of another component that it shares most entries with
         left = self.unsettled(sigs, labels, F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit("centre"))).alias("c"))
         drop(sigs)
-        met = left.where("c.comp != comp").groupBy("node", "n", "c").agg(F.count("*").alias("entries"))
-        best = met.groupBy("node", "n").agg(F.max(F.struct("entries", "c")).alias("m"))
-        pairs = self.fitting(best.select(F.col("m.c.node").alias("a"), F.col("m.c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
-        edges = edges.unionByName(keep(verified(pairs, sets, self.percent)))
+        edges = edges.unionByName(keep(verified(self.best(left.where("c.comp != comp")), sets, self.percent)))
         labels = components(edges, self.scratch)
 
-        # all pairs that are left, by the bound of their codes; first each node's best, then those still across components
         rest = self.unsettled(left, labels, F.min("node").alias("first"))
         drop(left)
-        pairs = keep(self.all_pairs(rest, sets))
+        near = keep(self.all_pairs(rest, sets))
         drop(rest)
-        near = keep(likely(pairs, sets, self.percent))
-        drop(pairs)
-        ends = near.select("a", "b", "most", F.explode(F.array("a", "b")).alias("node"))
-        best = ends.groupBy("node").agg(F.max(F.struct("most", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        edges = edges.unionByName(keep(exact(best, sets, self.percent)))
-        labels = components(edges, self.scratch)
-        more = keep(exact(across(near.select("a", "b"), labels), sets, self.percent))
-        return components(edges.unionByName(more), self.scratch)
+        edges = edges.unionByName(keep(exact(near.distinct(), sets, self.percent)))
+        return components(edges, self.scratch)
+
+    def best(self, entries: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each node and the centre (``c``) that it shares most entries with."""
+        met = entries.where("node != c.node").groupBy("node", "n", "c").agg(F.count("*").alias("entries"))
+        best = met.groupBy("node", "n").agg(F.max(F.struct("entries", "c")).alias("m"))
+        return self.fitting(best.select(F.col("m.c.node").alias("a"), F.col("m.c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
 
     def unsettled(self, sigs: DataFrame, labels: DataFrame, *aggregates: Column) -> DataFrame:
         """(sig, node, n, comp, entry, aggregates) of index entries whose nodes lie in several components; entry: their number."""
@@ -468,21 +472,20 @@ class Join:
         return self.scratch.table(by_entry(named, "comp", *aggregates))
 
     def all_pairs(self, rest: DataFrame, sets: DataFrame) -> DataFrame:
-        """Distinct plausible pairs across components within all entries of ``rest``."""
+        """Likely pairs (a, b) across components within all entries of ``rest``; a pair may come twice."""
         few, many = rest.where(F.col("entry") <= SMALL_ENTRY), rest.where(F.col("entry") > SMALL_ENTRY)
         one = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         two = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
         pairs = plausible(self.fitting(one.join(two, "sig").where(F.col("ca") < F.col("cb"))), sets, self.percent)
-        if not many.isEmpty():
-            pairs = pairs.unionByName(tiled(self.clusters(many, sets), self.percent))
-        return pairs.distinct()
+        pairs = likely(pairs, sets, self.percent)
+        return pairs if many.isEmpty() else pairs.unionByName(tiled(self.clusters(many, sets), self.percent))
 
     def clusters(self, many: DataFrame, sets: DataFrame) -> DataFrame:
         """Nodes of large entries, each once, with the cluster of entries that share nodes."""
         star = many.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
         named = components(self.scratch.table(star), self.scratch).withColumnRenamed("comp", "cluster")
         nodes = many.select("node", "n", "comp").distinct()
-        return self.scratch.table(nodes.join(named, "node").join(sets.select("node", "bits"), "node"))
+        return self.scratch.table(nodes.join(named, "node").join(sets.select("node", "bits", "codes"), "node"))
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""
