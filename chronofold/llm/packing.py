@@ -10,7 +10,8 @@ rises whenever a window exceeds the capacity. What a group of pieces wastes is t
 window, and memory is bounded by the group.
 
 Null and empty texts give one piece, their end id; a text of any length is packed whole; repeated
-rows are packed each. A window's id has the partition and a count within it, so lost tasks that
+rows are packed each, also under one id; pieces of one size go by their order; no other columns are read, so
+none can clash; an empty table gives no rows. A window's id has the partition and a count within it, so lost tasks that
 run again give the same ids.
 """
 
@@ -34,7 +35,8 @@ WINDOW = 2048
 PIECE = 512
 GROUP = 512
 END_ID = 1
-CACHE = 1_000_000
+CACHE = 500_000
+LONG = 64
 DEFAULT = "word_bpe_49k.json"
 #: The vocabulary's own words, as Python's engine matches them up to U+024F in lower-cased text.
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
@@ -43,8 +45,9 @@ ODD = "[^\x00-ɏ]|[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|İ"
 
 
 class WordIds:
-    """Ids of words as bytes (unsigned 32-bit, little-endian), cached in a bounded table.
+    """Ids of texts as bytes (unsigned 32-bit, little-endian), from bounded tables of what white space delimits.
 
+    No word of the vocabulary's pattern holds white space, so a text's ids are those of its delimited pieces.
     Missing words are encoded together, with spaces between them, by the library without its
     normaliser (they are lower case already); each word's last id is one that ends a word.
     """
@@ -53,14 +56,18 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = public_tokenizers.path(name)
-        self.library, self.plain, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.library, self.plain, self.known, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path), {}, {}
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.split, self.odd = re.compile(PATTERN).findall, re.compile("|".join([ODD, *special])).search
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.split, self.unlike, self.marks = re.compile(PATTERN).findall, re.compile(ODD).search, [*map(chr, range(0x1C, 0x20)), *special]
+
+    def odd(self, text: str) -> bool:
+        """Whether a text is for the library as a whole."""
+        return any(m in text for m in self.marks) or not text.isascii() and bool(self.unlike(text))
 
     def learn(self, words: list[str]) -> None:
         ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -68,22 +75,45 @@ class WordIds:
         raw = ids.tobytes()
         if len(cuts) != len(words) + 1:
             raise ValueError("words and word ends differ")
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        self.words.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def add(self, pieces: set[str]) -> None:
+        split = [self.split(p) for p in pieces]
+        if missing := list(set(filterfalse(self.words.__contains__, chain.from_iterable(split)))):
+            self.learn(missing)
+        look = self.words.__getitem__
+        self.known.update((p, b"".join(map(look, w))) for p, w in zip(pieces, split))
+
     def texts(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(self.odd(t)) for t in texts]
-        words = [[] if o else self.split(t.lower()) for t, o in zip(texts, odd)]
-        missing = list(set(filterfalse(self.known.__contains__, chain.from_iterable(words))))
-        if len(self.known) + len(missing) > CACHE:
-            self.known = {}
-            missing = list(set(chain.from_iterable(words)))
+        odd = [self.odd(t) for t in texts]
+        pieces = [[] if o else t.lower().split() for t, o in zip(texts, odd)]
+        missing = set(filterfalse(self.known.__contains__, chain.from_iterable(pieces)))
+        if max(len(self.known) + len(missing), len(self.words)) > CACHE:
+            self.known, self.words = {}, {}
+            missing = set(chain.from_iterable(pieces))
         if missing:
-            self.learn(missing)
+            self.add(missing)
         look = self.known.__getitem__
-        return [self.whole(t) if o else b"".join(map(look, w)) for t, o, w in zip(texts, odd, words)]
+        made = [self.whole(t) if o else b"".join(map(look, p)) for t, o, p in zip(texts, odd, pieces)]
+        if long := [x for x in missing if len(x) > LONG]:  # so that the tables are bounded in bytes too
+            for x in long:
+                del self.known[x]
+            for x in [x for x in self.words if len(x) > LONG]:
+                del self.words[x]
+        return made
+
+
+_coders: dict[str, WordIds] = {}
+
+
+def coder_of(name: str) -> WordIds:
+    """One for all tasks of a worker process."""
+    if name not in _coders:
+        _coders[name] = WordIds(name)
+    return _coders[name]
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -152,7 +182,7 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sequence = WordIds(tokenizer), (TaskContext.get().partitionId() << 33) - 1
+        coder, sequence = coder_of(tokenizer), (TaskContext.get().partitionId() << 33) - 1
         rows, waiting, held = [], [], 0
         kinds = None
 
