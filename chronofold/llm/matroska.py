@@ -2,12 +2,13 @@
 
 ``packets`` parses the variable-length EBML elements of a file: segments and clusters (also of
 unknown size), simple blocks and block groups, the three kinds of lacing (Xiph, EBML, fixed size),
-tracks and cues, into one row per frame with track, time, byte range and whether it is a key frame. ``mux`` writes
+tracks (a default duration or else the sample rate spaces the frames of a lace) and cues, into one row
+per frame with track, time, byte range and whether it is a key frame. ``mux`` writes
 8-bit PCM samples as such a file: clusters of laced blocks with frames of ``FRAME`` samples, and
 cues that point at the clusters.
 
 Null and empty texts become one frame of padding; texts of any length are stored whole; equal
-texts give equal files; repeated rows are stored each. Bytes that are no Matroska file raise
+texts give equal files; repeated rows are stored each; other columns are not read; an empty table gives no rows. Bytes that are no Matroska file raise
 ValueError in ``packets``.
 """
 
@@ -33,7 +34,7 @@ SCALE = 1_000_000  # nanoseconds of a tick
 #: Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER_ID, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TICKS, DURATION, WRITER, MUXER = 0x2AD7B1, 0x4489, 0x5741, 0x4D80
-TRACK, NUMBER, UID, KIND, CODEC, LACING, AUDIO, FREQUENCY, CHANNELS, DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1, 0xB5, 0x9F, 0x6264
+TRACK, NUMBER, UID, KIND, CODEC, LACING, AUDIO, FREQUENCY, CHANNELS, DEPTH, EACH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_VERSION, DOC_READ = 0x4282, 0x4287, 0x4285
@@ -161,11 +162,11 @@ def packets(data: bytes) -> Media:
     if read_id(data, 0)[0] != EBML:
         raise ValueError("not an EBML file")
     # open parents: (id, end, state), the state of clusters is their time, of groups whether a frame is referred to
-    stack: list[list] = [[0, len(data), 0]]
+    stack: list[list] = [[0, len(data), 0, False, 0, 0]]
     at, segment, cue, track = 0, 0, [0, 0, 0], {}
     while at < len(data):
         while len(stack) > 1 and at >= stack[-1][1]:
-            _close(stack.pop()[0], media, cue, track)
+            _close(stack.pop(), media, cue, track)
         i, body = read_id(data, at)
         size, body = read_size(data, body)
         while len(stack) > 1 and stack[-1][0] == CLUSTER_ID and stack[-1][3] and i not in IN_CLUSTER:
@@ -179,10 +180,12 @@ def packets(data: bytes) -> Media:
             elif i == CLUSTER_ID:
                 media.clusters += 1
             elif i == CUE:
-                cue[:] = [0, 0, 0]
+                cue[0] = 0
+            elif i == CUE_PLACE:
+                cue[1:] = [0, 0]
             elif i == TRACK:
                 track.clear()
-            stack.append([i, end, 0, size is None, at - segment])
+            stack.append([i, end, 0, size is None, at - segment, len(media.packets)])
             at = body
             continue
         value = data[body:end]
@@ -195,21 +198,23 @@ def packets(data: bytes) -> Media:
             key = bool(flags & 0x80) if i == SIMPLE else True
             ranges = laced(data, p + 3, end, flags >> 1 & 3)
             kind = media.tracks.get(owner, {})
-            step = 0.0
-            if kind.get("codec", "").startswith("A_PCM") and kind.get("rate"):
+            step, each = 0.0, kind.get("each", 0) / media.scale
+            if not each and kind.get("codec", "").startswith("A_PCM") and kind.get("rate"):
                 step = 1e9 / media.scale * 8 / (kind["rate"] * kind.get("channels", 1) * kind.get("depth", 8))
             begun = 0
-            for a, b in ranges:
-                media.packets.append(Packet(owner, cluster[2] + shift + int(begun * step), a, b, key, cluster[4]))
+            for k, (a, b) in enumerate(ranges):
+                media.packets.append(Packet(owner, cluster[2] + shift + int(begun * step + k * each), a, b, key, cluster[4]))
                 begun += b - a
-        elif i == REFERENCE and media.packets:
-            media.packets[-1].key = False
+        elif i == REFERENCE:  # all frames of the group's block, whether it comes before or after
+            group = next((x for x in reversed(stack) if x[0] == GROUP), None)
+            if group is not None:
+                group[2] = True
         elif i == DURATION:
             media.duration = struct.unpack(">d" if len(value) == 8 else ">f", value)[0]
         elif i == TICKS:
             media.scale = int.from_bytes(value, "big")
-        elif i in (NUMBER, CHANNELS, DEPTH, KIND):
-            track[{NUMBER: "number", CHANNELS: "channels", DEPTH: "depth", KIND: "kind"}[i]] = int.from_bytes(value, "big")
+        elif i in (NUMBER, CHANNELS, DEPTH, KIND, EACH):
+            track[{NUMBER: "number", CHANNELS: "channels", DEPTH: "depth", KIND: "kind", EACH: "each"}[i]] = int.from_bytes(value, "big")
         elif i == CODEC:
             track["codec"] = value.decode("ascii", "replace")
         elif i == FREQUENCY:
@@ -218,15 +223,19 @@ def packets(data: bytes) -> Media:
             cue[{CUE_TIME: 0, CUE_TRACK: 1, CUE_CLUSTER: 2}[i]] = int.from_bytes(value, "big")
         at = end
     while len(stack) > 1:
-        _close(stack.pop()[0], media, cue, track)
+        _close(stack.pop(), media, cue, track)
     return media
 
 
-def _close(i: int, media: Media, cue: list[int], track: dict) -> None:
-    if i == CUE:
+def _close(parent: list, media: Media, cue: list[int], track: dict) -> None:
+    i, _, state, _, _, before = parent
+    if i == CUE_PLACE:  # a point may have positions for several tracks
         media.cues.append(tuple(cue))
     elif i == TRACK:
         media.tracks[track.get("number", 0)] = dict(track)
+    elif i == GROUP and state:
+        for packet in media.packets[before:]:
+            packet.key = False
 
 
 def payload_of(text: bytes) -> bytes:
