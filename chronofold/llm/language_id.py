@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching (PPM).
 
 Each language has a byte context tree of order 0 to ``ORDER`` with the counts of its training
-texts. The statistics are frozen, so a byte's code length after a context is fixed: where the
+texts; contexts of order 3 seen fewer than ``KEPT`` times in every language are left to the shorter ones. Every text
+starts after line feeds, so equal texts have equal code lengths wherever they stand. The statistics are frozen, so a byte's code length after a context is fixed: where the
 context has seen the byte, its count over total plus distinct (escape method C); else the code
 length of the escape, and then the shorter context's code for it, with the bytes that the longer
 context has seen excluded; below order 0 all 256 bytes are equally likely. A text's code length is
@@ -16,7 +17,7 @@ classes of their own, the others share one and cost their share of it.
 The model is fitted on about ``SAMPLE`` whole texts of each language of at most ``SAMPLE_CHARS``
 characters, chosen by a hash of the id (the documented bound of what is fitted). Texts that are null or hold no letter are `und`; a text of any length is
 scored whole; ties go to the language that sorts first; repeated rows are scored each. Without any
-training text every document is `und`.
+training text every document is `und`. Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SAMPLE = 400
 SAMPLE_CHARS = 50_000
 SCORE_BYTES = 64
 _BITS = 7
+KEPT = 3
+START = b"\n" * ORDER
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -46,7 +49,7 @@ class Model:
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = sorted(texts)
-        data = {k: FOLD[np.frombuffer(b"\n" + b"\n".join(v) + b"\n", np.uint8)] for k, v in texts.items()}
+        data = {k: FOLD[np.frombuffer(START + START.join(v) + START, np.uint8)] for k, v in texts.items()}
         counts = sum((np.bincount(x, minlength=256) for x in data.values()), np.zeros(256, np.int64))
         frequent = np.argsort(-counts, kind="stable")[: CLASSES - 1]
         frequent = frequent[counts[frequent] > 0]
@@ -58,7 +61,7 @@ class Model:
         seen = set()
         for x in coded.values():
             keys, n = np.unique(self.contexts(x)[ORDER:], return_counts=True)
-            seen.update(keys[n >= 3].tolist())
+            seen.update(keys[n >= KEPT].tolist())
         self.keys = np.array(sorted(seen), np.int64)
         self.row_of = np.zeros(1 << (_BITS * ORDER), np.int32)
         self.row_of[self.keys] = np.arange(1, len(self.keys) + 1)
@@ -70,14 +73,26 @@ class Model:
             self._fill(coded[name], j, shared)
         self.cost[0] = self.short.mean(axis=0)
 
-    @staticmethod
-    def contexts(x: np.ndarray) -> np.ndarray:
-        """The key of the ``ORDER`` classes before each position (zeros before the first)."""
+    def contexts(self, x: np.ndarray) -> np.ndarray:
+        """The key of the ``ORDER`` classes before each position; before the first stand line feeds, as before each
+        text of the training data."""
+        feed = int(self.classes[10])
         key = np.zeros(len(x), np.int64)
         for j in range(1, ORDER + 1):
             key[j:] |= x[:-j] << (_BITS * (j - 1))
+            key[:j] |= feed << (_BITS * (j - 1))
         return key
 
+    def restart(self, key: np.ndarray, x: np.ndarray, begins: np.ndarray) -> None:
+        """Makes the contexts at the beginning of each text those after line feeds, whatever text stands before it."""
+        feed = int(self.classes[10])
+        for place in range(ORDER):
+            at = begins[begins + place < np.append(begins[1:], len(x))] + place
+            here = np.zeros(len(at), np.int64)
+            for j in range(1, ORDER + 1):
+                here |= (x[at - j] if j <= place else feed) << (_BITS * (j - 1))
+            key[at] = here
+
     def _fill(self, x: np.ndarray, j: int, shared: float) -> None:
         """Code lengths of language ``j`` from the counts of ``x``, from order 0 up."""
         u = self.used
@@ -110,6 +125,7 @@ class Model:
         """Bits of each text in each language; ``bounds`` are byte positions, a line feed ends each text."""
         x = self.classes[FOLD[data]].astype(np.int64)
         key = self.contexts(x)
+        self.restart(key, x, bounds[:-1])
         row = self.row_of[key]
         flat = self.cost.reshape(-1, len(self.languages))
         bits = flat[row.astype(np.int64) * self.used + x]
@@ -124,19 +140,14 @@ def crc_part(key: str, parts: int):
 
 
 def sample_by_language(rows: DataFrame, *, key: str, lang: str, text: str, size: int = SAMPLE) -> dict[str, list[bytes]]:
-    """About ``size`` texts of each language, by a hash of the key; only counts and these come to the driver."""
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.lit(None).cast("double")
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, size / n))).otherwise(share)
+    """About ``size`` texts of each language, by a hash of the key; only these come to the driver."""
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where((drawn < share) & (F.length(text) <= SAMPLE_CHARS)).select(lang, F.col(text).alias("text"))
+    own = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), drawn.alias("__drawn"), F.col(text).alias("__text"))
+    counts = own.groupBy("__lang").agg(F.count("*").alias("__n"))
+    chosen = own.where(F.length("__text").between(1, SAMPLE_CHARS)).join(counts, "__lang").where(F.col("__drawn") * F.col("__n") < size)
     found: dict[str, list[bytes]] = {}
-    for r in chosen.collect():
-        if r["text"]:
-            found.setdefault(r[lang], []).append(r["text"].encode())
+    for r in chosen.groupBy("__lang", "__key").agg(F.min("__text").alias("text")).collect():  # one text for each id
+        found.setdefault(r["__lang"], []).append(r["text"].encode())
     return {k: sorted(v) for k, v in found.items()}
 
 
