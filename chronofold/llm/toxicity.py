@@ -21,7 +21,8 @@ at most ``SAMPLE_CHARS`` characters, chosen by a hash of the id (the documented
 them is kept for the logistic function. Every text is scored whole, one
 pass, no shuffle. Null and empty texts have no window and get the score of a margin of 0 evidence,
 below 0.5; several labels of one id count as toxic if any is; ids without labels, null labels and
-repeated rows are fine; without both labels in the sample every score is 0.
+repeated rows are fine (of several texts under one id the least is learnt from); equal windows' ties go to the
+first; without both labels in the sample every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronofold.llm.arrow import chunks, map_batches
 
@@ -293,27 +295,44 @@ def sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: st
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("label") == 1, min(1.0, size / max(counts.get(1, 1), 1))).otherwise(min(1.0, CLEAN_SHARE * size / max(counts.get(0, 1), 1)))
     # about (1 + CLEAN_SHARE) * size ids and labels: bounded, so they may be broadcast
-    chosen = F.broadcast(one.where(drawn < share))
-    rows = docs.select(key, text).where(F.length(text).between(1, SAMPLE_CHARS)).join(chosen, key).select(key, text, "label").collect()
+    chosen = F.broadcast(one.where(drawn < share).select(F.col(key).alias("__key"), "label"))
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length("__text").between(1, SAMPLE_CHARS))
+    # one text for each id, so that repeated ids do not exceed the bound
+    rows = texts.join(chosen, "__key").groupBy("__key").agg(F.min("__text").alias("text"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
-def score(docs: DataFrame, machine: Machine | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and score."""
+def score(docs: DataFrame, machine: Machine | None, *, key: str = "doc_id", text: str = "text", name: str = "toxicity_score") -> DataFrame:
+    """All columns of ``docs`` and the score; it stands in place of a column of its name."""
     fitted = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = docs.select("*", F.lit(0.0).alias("toxicity_score")).schema
+    docs = docs.select(*(c for c in docs.columns if c.lower() != name.lower() or c == text))
+    schema = StructType([*docs.schema, StructField(name, DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = fitted.value
-        for batch in (part for whole in batches for part in chunks(whole, text, 1 << 20)):
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            s = m.scores(texts) if m else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "toxicity_score"])
+        for batch, s in _scored(batches, text, fitted.value):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
+def reject(docs: DataFrame, machine: Machine | None, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose score is under ``least``, with the columns of ``docs``, whatever their names."""
+    fitted = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, s in _scored(batches, text, fitted.value):
+            yield batch.filter(pa.array(s < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scored(batches: Iterable[pa.RecordBatch], text: str, machine: Machine | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in (part for whole in batches for part in chunks(whole, text, 1 << 20)):
+        texts = [t or "" for t in batch.column(text).to_pylist()]
+        yield batch, machine.scores(texts) if machine else np.zeros(len(texts))
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
     texts, toxic = sample(docs, labels, key=key, text=text, label=label)
     return Machine(texts, toxic) if len(set(toxic.tolist())) == 2 else None
