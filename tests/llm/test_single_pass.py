@@ -58,6 +58,9 @@ def test_packing(spark, odd_docs, no_docs):
             assert r.offset == at
             at += r.length
         assert at <= 2048
+    # little padding: but for each partition's last group, windows are nearly full
+    partitions = docs.rdd.getNumPartitions()
+    assert len(by_sequence) <= sum(r.length for r in rows) / (0.97 * 2048) + partitions
     assert packing.pack(no_docs).count() == 0
     assert packing.pack(odd_docs).agg(F.sum("length")).first()[0] > 100_000
 
@@ -79,11 +82,11 @@ def plain_hits(text, items):
     for item, other in items:
         w = decontamination.words_of(other)
         n = min(13, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            for j in range(len(words) - n + 1):
-                if words[j : j + n] == w[i : i + n]:
-                    hit.update(range(j, j + n))
-                    found.add(item)
+        theirs = {tuple(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0)}
+        for j in range(len(words) - n + 1 if n else 0):
+            if tuple(words[j : j + n]) in theirs:
+                hit.update(range(j, j + n))
+                found.add(item)
     return len(words), len(hit), len(found), decontamination.digest(found)
 
 
@@ -98,15 +101,14 @@ def test_decontamination(spark, odd_docs, no_docs, monkeypatch):
         src = draw.choice(items)[1] or ""
         at = draw.randint(0, len(t))
         rows.append((i, ", ".join(t[:at] + src.split() + t[at:])))
-    items = [x for x in items if len((x[1] or "").split()) not in (1, 2)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     docs = docs.unionByName(odd_docs.select("doc_id", "text"))
-    expected = sorted((str(i), *plain_hits(t, items)) for i, t in texts_of(docs) if len(t) < 10_000)
+    expected = sorted((str(i), *plain_hits(t, items)) for i, t in texts_of(docs))
     key = lambda r: (str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256)
     got = decontamination.flag(docs, bench).collect()
-    assert sorted(key(r) for r in got if r.n_words < 10_000) == expected
+    assert sorted(key(r) for r in got) == expected
     assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got)
-    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontamination, "INDEX_WINDOWS", 0)
     assert sorted(map(key, decontamination.flag(docs, bench).collect())) == sorted(map(key, got))
     monkeypatch.undo()
     assert decontamination.flag(no_docs, bench).count() == 0
@@ -122,9 +124,9 @@ def test_clean_cuts_light_hits(spark):
     assert set(got) == {1, 3, 4} and got[1] == f"{host}  {host}" and got[3] == "clean text" and got[4] is None
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_clean_is_the_same_either_way(spark, monkeypatch, odd_docs, no_docs, limit):
-    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(decontamination, "INDEX_WINDOWS", limit)
     passage, short = " ".join(f"p{i}" for i in range(20)), "only four words here"
     host = " ".join(f"w{i}" for i in range(1000))
     rows = [(1, f"{host} {passage} {host}"), (2, f"a {passage}"), (2, "clean text"), (2, None), (None, f"b {passage}"), (None, f"É {short} {host}"), (None, f"{passage} {host} {short}, {passage}")]
@@ -162,7 +164,7 @@ def test_lacing_kinds_and_unknown_sizes():
     media = m.packets(data)
     assert media.clusters == 2
     assert [data[p.begin : p.end] for p in media.packets] == (frames * 2 + [b"zz"]) * 2
-    assert [p.time for p in media.packets][:9] == [97] * 8 + [109] and [p.key for p in media.packets][:9] == [False] * 4 + [True] * 4 + [False] or True
+    assert [p.time for p in media.packets][:9] == [97] * 8 + [109] and [p.key for p in media.packets][:9] == [False] * 4 + [True] * 4 + [False]
     assert not media.packets[8].key
     for broken in (b"", b"no", data[: len(data) - 1]):
         with pytest.raises((ValueError, struct.error, IndexError)):
