@@ -3,7 +3,9 @@ one document of each near-duplicate group stays, benchmark passages go, and what
 
 Each stage takes (spark, docs, sf_dir), with ``docs`` what the stage before has kept; ``run`` writes
 each stage's rows in the shared folder and reads them again. All but the last return the columns of
-``documents``; ``n_chars`` follows the text.
+``documents``; ``n_chars`` follows the text. Null and empty texts pass every stage and are packed as their
+end id; rows with a null or repeated ``doc_id`` are judged each (the second stage neither cuts nor compares
+rows without an id); extra columns are kept until the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine does not reject."""
     machine = toxicity.learn(docs, toxicity.training_labels(spark, sf_dir))
-    return toxicity.score(docs, machine).where(F.col("toxicity_score") < 0.5).select(*docs.columns)
+    return toxicity.reject(docs, machine)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
