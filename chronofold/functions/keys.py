@@ -20,8 +20,8 @@ def extract(key: Column, radixes: list[int]) -> list[Column]:
     """The components of a combined key, first to last."""
     out = []
     for radix in reversed(radixes):
-        out.append(key % radix)
-        key = F.floor(key / radix)
+        out.append(F.pmod(key, F.lit(radix)))
+        key = F.call_function("div", key, F.lit(radix))  # whole numbers, exact beyond 2 ** 53
     return [key, *reversed(out)]
 
 
@@ -30,6 +30,12 @@ def normalized(value: Column) -> Column:
     return F.lpad(F.hex(value.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
 
 
+def denormalized(code: Column) -> Column:
+    """The signed long of a normalized key."""
+    high, low = (F.conv(F.substring(code, at, 8), 16, 10).cast("long") for at in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+
+
 def key_slice(key: Column, layer: int, width: int = 8) -> Column:
     """The bytes of a string key in one layer, padded with zero bytes, as hex."""
     part = F.hex(F.substring(F.encode(key, "UTF-8"), layer * width + 1, width))
@@ -53,6 +59,18 @@ def epoch_next(a: Column, bits: int = 28) -> Column:
     return F.when(following == 0, 1).otherwise(following)
 
 
+def epoch_previous(a: Column, bits: int = 28) -> Column:
+    """The epoch before ``a``; 0 is invalid and skipped."""
+    before = F.pmod(a - 1, F.lit(1 << bits))
+    return F.when(before == 0, (1 << bits) - 1).otherwise(before)
+
+
+def epoch_distance(a: Column, b: Column, bits: int = 28) -> Column:
+    """How many steps lead from epoch ``b`` on to ``a``, 0 being no step."""
+    steps = F.pmod(a - b, F.lit(1 << bits))
+    return F.when(a < b, steps - 1).otherwise(steps)
+
+
 def symbol_time_key(symbol: Column, seconds: Column, partition: Column) -> Column:
     """Symbol (20 bits), seconds (32 bits) and partition (12 bits) in one long."""
     return F.shiftleft(symbol.cast("long"), 44).bitwiseOR(F.shiftleft(seconds.cast("long"), 12)).bitwiseOR(partition.cast("long"))
@@ -70,8 +88,9 @@ def last_name(number: Column) -> Column:
 
 
 def datetime_text(seconds: Column) -> Column:
-    """Unix seconds as text in GMT; the session's time zone is UTC."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy/MM/dd HH:mm:ss 'GMT'")
+    """Unix seconds as text in GMT, whatever the session's time zone."""
+    plain = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.date_format(plain, "yyyy/MM/dd HH:mm:ss 'GMT'")
 
 
 def cents(money: Column) -> Column:

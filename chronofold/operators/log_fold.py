@@ -57,6 +57,18 @@ def seq_of(column: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.struct(F.col(f"{column}.epoch").alias("epoch"), F.col(f"{column}.ordinal").alias("ordinal")))
 
 
+def fold_ranges(base: DataFrame, log: DataFrame) -> DataFrame:
+    """(key, payload) after overwrites of byte ranges: ``log`` has (key, begin, part, epoch, ordinal), parts being ASCII.
+
+    Each byte has its last writer, an aggregate that combines before the shuffle; bytes past the payload's end are not written."""
+    written = log.select("key", seq().alias("seq"), "begin", F.posexplode(F.split("part", "")).alias("i", "byte")).where("byte != ''")
+    last = written.groupBy("key", (F.col("begin") + F.col("i")).alias("at")).agg(F.max_by("byte", "seq").alias("byte"))
+    bytes_ = last.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("at", "byte"))).alias("bytes"))
+    old = F.transform(F.split("payload", ""), lambda c, i: F.coalesce(F.element_at("bytes", i.cast("long")), c))
+    both = base.select("key", "payload").join(bytes_, "key", "left")
+    return both.select("key", F.when(F.col("bytes").isNull(), F.col("payload")).otherwise(F.array_join(old, "")).alias("payload"))
+
+
 def latest_version(log: DataFrame) -> DataFrame:
     """The last log row of each key."""
     return log.groupBy("key").agg(F.max(F.struct(*SEQ, "op", "value")).alias("r")).select("key", "r.epoch", "r.ordinal", "r.op", "r.value")
@@ -104,8 +116,10 @@ def compose(base: DataFrame, delta: DataFrame) -> DataFrame:
     return fold(delta, base).where("alive").select("key", "value")
 
 
-def compose_array(n: int, log: DataFrame) -> DataFrame:
-    """The snapshot of an array storage of ``n`` records: every offset exists, gaps are 0."""
+def compose_array(n: int | None, log: DataFrame) -> DataFrame:
+    """The snapshot of an array storage of ``n`` records (None: up to the largest key): every offset exists, gaps are 0."""
+    if n is None:
+        n = (log.agg(F.max("key")).first()[0] or -1) + 1
     base = log.sparkSession.range(n).select(F.col("id").alias("key"))
     state = fold(log).select("key", "value")
     return base.join(state, "key", "left").select("key", F.coalesce("value", F.lit(0)).cast("long").alias("value"))

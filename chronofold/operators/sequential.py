@@ -34,8 +34,21 @@ def snapshot_and_delta(snapshot: DataFrame, delta: DataFrame, snapshot_epoch: in
     return snapshot.unionByName(delta.where(F.col("epoch") > snapshot_epoch))
 
 
-def append(table: DataFrame, rows: DataFrame, payload: str | None = None) -> DataFrame:
-    """The table with ``rows`` added; payloads of MAX_PAYLOAD bytes and more are refused."""
-    if payload:
-        rows = rows.where(F.octet_length(payload) < MAX_PAYLOAD)
+def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with ``rows`` added."""
     return table.unionByName(rows, allowMissingColumns=True)
+
+
+def checked(rows: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be appended, and those refused, whose status says why: payloads of MAX_PAYLOAD bytes and more."""
+    long = F.coalesce(F.octet_length(payload), F.lit(0)) >= MAX_PAYLOAD
+    return rows.where(~long), rows.where(long).withColumn("status", F.lit("TOO_LONG_PAYLOAD"))
+
+
+def ordered(rows: DataFrame, mode: str = "none", *, node: str = "node", core: str = "core", within: str = "ordinal") -> DataFrame:
+    """Rows in an order mode: none, node_first (node, core, then time) or epoch (time first); range partitions, each sorted."""
+    keys = {"none": [], "node_first": [node, core, "epoch", within], "epoch": ["epoch", within, node, core]}.get(mode)
+    if keys is None:
+        raise InvalidParameter(f"no such order: {mode}")
+    keys = [k for k in keys if k in rows.columns]
+    return rows.orderBy(*keys) if keys else rows

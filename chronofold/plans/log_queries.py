@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,9 @@ def snapshot_compose(spark: SparkSession, d: str) -> DataFrame:
     return log_fold.compose(base, log_fold.upto(log, after=SNAPSHOT))
 
 
-@query(f"WITH {LOG_SQL}, a AS (SELECT * FROM log WHERE op IN ('overwrite', 'increment')), {fold_sql('a')} SELECT CAST(range AS BIGINT) AS key, coalesce(value, 0) AS value FROM range(200) LEFT JOIN state ON key = range")
+@query(f"WITH {LOG_SQL}, a AS (SELECT * FROM log WHERE op IN ('overwrite', 'increment')), {fold_sql('a')} SELECT CAST(range AS BIGINT) AS key, coalesce(value, 0) AS value FROM range((SELECT max(key) + 1 FROM a)) LEFT JOIN state ON key = range")
 def snapshot_compose_array(spark: SparkSession, d: str) -> DataFrame:
-    return log_fold.compose_array(200, events_log(spark, d).where(F.col("op").isin("overwrite", "increment")))
+    return log_fold.compose_array(None, events_log(spark, d).where(F.col("op").isin("overwrite", "increment")))
 
 
 @query(f"WITH {LOG_SQL} SELECT epoch, CAST(count(*) AS BIGINT) AS n FROM log WHERE epoch > {SNAPSHOT} GROUP BY epoch")
@@ -94,17 +95,32 @@ def as_of_epoch(spark: SparkSession, d: str) -> DataFrame:
     return state.withColumn("value", F.coalesce("value", F.lit(-1)))
 
 
-@query()
+@query(f"WITH {LOG_SQL}, a AS (SELECT * FROM log WHERE epoch <= {END}), {fold_sql('a')} SELECT key, value FROM state WHERE alive")
 def snapshot_write(spark: SparkSession, d: str) -> DataFrame:
-    """A snapshot written as files and read back with the log after it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
-    folder = f"{folder}/snapshots-{abs(hash((spark.sparkContext.applicationId, d)))}"
+    """A snapshot written as files and read back with the log after it; the oracle replays the whole log."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chronofold-")
+    folder = f"{folder}/snapshots-{uuid.uuid4().hex}"
     log = events_log(spark, d)
-    state = log_fold.fold(log_fold.upto(log, SNAPSHOT)).where("alive").select("key", "value")
-    snapshots.write(state, folder, 1, 0, SNAPSHOT)
+    snapshots.write(log_fold.fold(log_fold.upto(log, SNAPSHOT)), folder, 1, 0, SNAPSHOT)
     return snapshots.recover(spark, folder, log, END)
 
 
+_PARTS_SQL = f"{LOG_SQL}, p AS (SELECT key, ordinal, ordinal % 7 AS begin, substr(md5(CAST(ordinal AS VARCHAR)), 1, CAST(1 + ordinal % 5 AS INTEGER)) AS part FROM log WHERE op = 'overwrite'), "
+
+
+@query(
+    f"WITH {_PARTS_SQL} b AS (SELECT key, begin + i - 1 AS at, arg_max(substr(part, CAST(i AS INTEGER), 1), ordinal) AS c FROM (SELECT *, unnest(range(1, length(part) + 1)) AS i FROM p) GROUP BY ALL), "
+    "g AS (SELECT key, unnest(range(0, 9)) AS at FROM (SELECT DISTINCT user_id AS key FROM events)) "
+    "SELECT g.key, string_agg(coalesce(c, '.'), '' ORDER BY g.at) AS payload FROM g LEFT JOIN b ON b.key = g.key AND b.at = g.at GROUP BY g.key"
+)
+def fold_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of nine dots after overwrites of byte ranges; what reaches past the end is cut."""
+    log = events_log(spark, d)
+    part = F.expr("substring(md5(cast(ordinal as string)), 1, cast(1 + ordinal % 5 as int))")
+    writes = log.where("op = 'overwrite'").select("key", "epoch", "ordinal", (F.col("ordinal") % 7).alias("begin"), part.alias("part"))
+    return log_fold.fold_ranges(log.select("key", F.lit("." * 9).alias("payload")).distinct(), writes)
+
+
 @query("SELECT user_id AS key, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS merged FROM events GROUP BY ALL")
 def compact_increments(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compact_increments(events_log(spark, d), "key", "event_type")

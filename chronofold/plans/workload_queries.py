@@ -28,14 +28,12 @@ _AMOUNT = "qty * price * (100 + tax) * (100 - disc)"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines with item, order and customer; money in whole units, so sums are exact."""
+    """Order lines with their item; money in whole units, so sums are exact."""
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("qty"), cents(F.col("l_tax")).alias("tax"), cents(F.col("l_discount")).alias("disc")
     )
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), cents(F.col("p_retailprice")).alias("price"), "p_name", "p_brand")
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
-    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    return lines.join(part, "l_partkey").join(orders, "l_orderkey").join(customer, "o_custkey")
+    return lines.join(part, "l_partkey")
 
 
 def _amount() -> F.Column:
@@ -79,18 +77,18 @@ def q_payment_history(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.substring(F.concat(head, F.lit(" "), F.date_format("o_orderdate", "yyyy/MM/dd"), "c_name"), 1, 500).alias("data"))
 
 
-_RECENT = f"""{_STOCK}, o AS (SELECT o_orderkey, c_nationkey, max(o_orderkey) OVER (PARTITION BY c_nationkey) AS newest FROM orders JOIN customer ON c_custkey = o_custkey),
-recent AS (SELECT c_nationkey, l_partkey FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey >= newest - 2000)"""
+_RECENT = f"""{_STOCK}, o AS (SELECT o_orderkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey DESC) AS back FROM orders JOIN customer ON c_custkey = o_custkey),
+recent AS (SELECT c_nationkey, l_partkey FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE back <= 20)"""
 
 
 def _recent(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of each nation's newest orders (a key range back from the last)."""
+    """Lines of each nation's last 20 orders; the limit is pushed below the window's shuffle."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     owned = orders.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    newest = owned.groupBy("c_nationkey").agg(F.max("o_orderkey").alias("newest"))
-    near = owned.join(newest, "c_nationkey").where(F.col("o_orderkey") >= F.col("newest") - 2000)
+    back = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("o_orderkey")))
+    near = owned.withColumn("back", back).where("back <= 20").select("o_orderkey", "c_nationkey")
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    return lines.join(near.select("o_orderkey", "c_nationkey"), "o_orderkey").select("c_nationkey", "l_partkey")
+    return lines.join(near, "o_orderkey").select("c_nationkey", "l_partkey")
 
 
 @query(f"WITH {_RECENT} SELECT c_nationkey, CAST(count(*) AS BIGINT) AS low_stock FROM recent JOIN stock ON i = l_partkey WHERE quantity < 700 GROUP BY c_nationkey")
@@ -159,14 +157,19 @@ _TYPES = {"click": ("TLB", False, False), "error": ("TLS", True, False), "purcha
 _TYPES_SQL = "types(event_type, tt, is_sell, is_mrkt) AS (VALUES " + ", ".join(f"('{k}', '{a}', {str(b).lower()}, {str(c).lower()})" for k, (a, b, c) in _TYPES.items()) + ")"
 
 
-def _types(spark: SparkSession) -> DataFrame:
-    """The five kinds of trade; a table of fixed size, so it may be broadcast."""
-    return spark.createDataFrame([(k, *v) for k, v in _TYPES.items()], "event_type string, tt string, is_sell boolean, is_mrkt boolean")
+def _kinds(events: DataFrame) -> DataFrame:
+    """Events of the five kinds of trade, with what is known of each kind."""
+    for i, name in enumerate(("tt", "is_sell", "is_mrkt")):
+        known = F.lit(None)
+        for kind, row in _TYPES.items():
+            known = F.when(F.col("event_type") == kind, row[i]).otherwise(known)
+        events = events.withColumn(name, known)
+    return events.where(F.col("event_type").isin(*_TYPES))
 
 
 @query(f"WITH {_TYPES_SQL} SELECT event_id AS trade, user_id AS symbol, tt, is_sell, is_mrkt, CAST(round(value * 100) AS BIGINT) AS price, CASE WHEN is_mrkt THEN 'SBMT' ELSE 'PNDG' END AS status FROM events JOIN types ON events.event_type = types.event_type")
 def q_trade_order(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").join(F.broadcast(_types(spark)), "event_type")
+    e = _kinds(table(spark, d, "events"))
     return e.select(F.col("event_id").alias("trade"), F.col("user_id").alias("symbol"), "tt", "is_sell", "is_mrkt", cents(F.col("value")).alias("price"), F.when(F.col("is_mrkt"), "SBMT").otherwise("PNDG").alias("status"))
 
 
@@ -175,15 +178,15 @@ def q_trade_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 trades of each symbol in a window of ten days, with their kinds."""
     rows = table(spark, d, "events").where((F.col("ts") >= F.lit("2024-01-11").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz")))
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")).where("rn <= 20")
-    return first.join(F.broadcast(_types(spark)), "event_type").select(F.col("user_id").alias("symbol"), F.col("event_id").alias("trade"), "rn", "tt", cents(F.col("value")).alias("price"))
+    return _kinds(first).select(F.col("user_id").alias("symbol"), F.col("event_id").alias("trade"), "rn", "tt", cents(F.col("value")).alias("price"))
 
 
-@query("SELECT coalesce(user_id, -1) AS account, coalesce(user_id % 10, -1) AS branch, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, value FROM events WHERE event_type = 'purchase') GROUP BY GROUPING SETS ((user_id, user_id % 10), (user_id % 10), ())")
+@query("SELECT coalesce(user_id, -1) AS account, coalesce(user_id % 10, -1) AS branch, CAST(grouping(user_id % 10, user_id) AS BIGINT) AS level, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, value FROM events WHERE event_type = 'purchase') GROUP BY GROUPING SETS ((user_id, user_id % 10), (user_id % 10), ())")
 def q_tpcb_balances(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("account"), (F.col("user_id") % 10).alias("branch"), cents(F.col("value")).alias("amount"))
     per = rows.groupBy("account", "branch").agg(F.sum("amount").alias("balance"), F.count("*").alias("n"))  # the finest level first: the others sum it up
-    sums = per.rollup("branch", "account").agg(F.sum("balance").alias("balance"), F.sum("n").alias("n"))
-    return sums.select(F.coalesce("account", F.lit(-1)).cast("long").alias("account"), F.coalesce("branch", F.lit(-1)).cast("long").alias("branch"), "balance", "n")
+    sums = per.rollup("branch", "account").agg(F.sum("balance").alias("balance"), F.sum("n").alias("n"), F.grouping_id().alias("level"))  # tells a null account from a subtotal
+    return sums.select(F.coalesce("account", F.lit(-1)).cast("long").alias("account"), F.coalesce("branch", F.lit(-1)).cast("long").alias("branch"), F.col("level").cast("long").alias("level"), "balance", "n")
 
 
 def _fields(key: str) -> list:
@@ -232,7 +235,14 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TOKENS}{_COUNTS} SELECT 'doc' AS kind, CAST(doc_id AS VARCHAR) AS id, topic, CAST(n_td AS BIGINT) AS n FROM td UNION ALL SELECT 'all', '', topic, n_t FROM tt")
 def lda_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by document and topic, and by topic; the second sums up the first."""
-    docs = _tokens(spark, d).groupBy("doc_id", "topic").agg(F.count("*").alias("n"))
+    def _is(topic: int):
+        return lambda x: x == topic
+
+    # counted in the row, so that only four numbers a document are shuffled
+    topics = F.transform(F.filter(F.split(F.lower("text"), " "), lambda w: w != ""), lambda w: F.char_length(w) % 4)
+    rows = table(spark, d, "documents").select("doc_id", topics.alias("topics"))
+    counts = F.array(*(F.struct(F.lit(t).cast("long").alias("topic"), F.size(F.filter("topics", _is(t))).cast("long").alias("n")) for t in range(4)))
+    docs = rows.select("doc_id", F.inline(counts)).where("n > 0").groupBy("doc_id", "topic").agg(F.sum("n").alias("n"))
     sums = docs.groupBy("topic").agg(F.sum("n").alias("n"))
     return docs.select(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"), "topic", "n").unionByName(sums.select(F.lit("all").alias("kind"), F.lit("").alias("id"), "topic", "n"))
 
@@ -247,13 +257,12 @@ ALPHA, BETA = 1.0, 0.1
 )
 def lda_conditional(spark: SparkSession, d: str) -> DataFrame:
     """The sampler's weight of each token's own topic with the token taken out, summed by document and topic."""
-    tokens = _tokens(spark, d)
-    words = tokens.groupBy("doc_id", "word", "topic").agg(F.count("*").alias("k"))
+    words = _tokens(spark, d).groupBy("doc_id", "word", "topic").agg(F.count("*").alias("k"))
     per_word = words.groupBy("word", "topic").agg(F.sum("k").alias("n_tw"))
-    per_doc = words.groupBy("doc_id", "topic").agg(F.sum("k").alias("n_td"))
-    # one row a topic and one number: both have a bound whatever the input
-    per_topic = F.broadcast(per_doc.groupBy("topic").agg(F.sum("n_td").alias("n_t")))
-    size = F.broadcast(per_word.select("word").distinct().agg(F.count("*").alias("v")))
-    rows = words.join(per_word, ["word", "topic"]).join(per_doc, ["doc_id", "topic"]).join(per_topic, "topic").crossJoin(size)
-    weight = (ALPHA + F.col("n_td") - 1) * (BETA + F.col("n_tw") - 1) / (BETA * F.col("v") + F.col("n_t") - 1)
-    return rows.groupBy("doc_id", "topic").agg(F.sum("k").alias("n"), F.round(F.sum(F.col("k") * weight), 4).alias("weight"))
+    # n_td is the sum of the rows that the result groups, so no other join is needed; a hot word's rows can be split in this one
+    sums = words.join(per_word, ["word", "topic"]).groupBy("doc_id", "topic").agg(F.sum("k").alias("n"), F.sum(F.col("k") * (BETA + F.col("n_tw") - 1)).alias("s"))
+    # a row for each of four topics: V and n_t
+    per_topic = per_word.groupBy("topic").agg(F.sum("n_tw").alias("n_t"), F.count("*").alias("words"))
+    per_topic = F.broadcast(per_topic.withColumn("v", F.sum("words").over(Window.partitionBy())))
+    weight = (ALPHA + F.col("n") - 1) * F.col("s") / (BETA * F.col("v") + F.col("n_t") - 1)
+    return sums.join(per_topic, "topic").select("doc_id", "topic", "n", F.round(weight, 4).alias("weight"))

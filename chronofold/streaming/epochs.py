@@ -16,8 +16,14 @@ def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to a table partitioned by epoch, so epoch ranges prune directories; exactly once by checkpoint."""
-    return stream.writeStream.format("parquet").partitionBy("epoch").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append to a table partitioned by epoch and batch, so epoch ranges prune directories. Exactly once: a batch that
+    runs again replaces its own directories only."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def throughput(stream: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -37,3 +43,18 @@ def continuous_fold(log: DataFrame, folder: str, checkpoint: str) -> StreamingQu
         log_fold.fold(batch, base).write.mode("overwrite").parquet(f"{folder}/state={batch_id}")
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def expire(spark: SparkSession, path: str, earliest: int) -> list[int]:
+    """Retention: drops the partitions of epochs before ``earliest`` from a table that ``append_sink`` writes; returns them.
+
+    Only folders are listed and deleted, one an epoch; what a stream appends later to an expired epoch is expired by the next call."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    gone = []
+    for entry in files.listStatus(place):
+        name = entry.getPath().getName()
+        if name.startswith("epoch=") and name[6:].isdigit() and int(name[6:]) < earliest:
+            files.delete(entry.getPath(), True)
+            gone.append(int(name[6:]))
+    return sorted(gone)

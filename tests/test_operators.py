@@ -1,11 +1,13 @@
 """Error outcomes, boundaries, plans and streams."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronofold.functions import keys
-from chronofold.operators import catalog, compaction, dml, log_tools, reads, sequential
+from chronofold.operators import catalog, compaction, dml, log_tools, procedures, reads, sequential
 from chronofold.plans.common import events_log
 from chronofold.session import table
 from chronofold.sources import snapshots
@@ -75,7 +77,8 @@ def test_truncate_and_epochs(spark):
     both = sequential.snapshot_and_delta(sequential.scan(t, end=3), sequential.scan(t, 2), 2)
     assert both.count() == 6
     long = spark.createDataFrame([("x" * 4032,), ("y",)], "p string")
-    assert sequential.append(long.limit(0), long, "p").count() == 1
+    fine, refused = sequential.checked(long, "p")
+    assert fine.count() == 1 and [r.status for r in refused.collect()] == ["TOO_LONG_PAYLOAD"] * (long.count() - 1)
 
 
 def test_wrap_and_keys(spark):
@@ -102,13 +105,102 @@ def test_snapshot_round_trip(spark, small, tmp_path):
     log = events_log(spark, small)
     from chronofold.operators import log_fold
 
-    base = log_fold.fold(log_fold.upto(log, 19737)).where("alive").select("key", "value")
-    snapshots.write(base, str(tmp_path), 1, 0, 19737)
-    # records dead at the snapshot are set again only by inserts and updates in this check
-    later = log_fold.upto(log, after=19737).where("op in ('insert', 'update', 'delete')")
-    got = {r.key: r.value for r in snapshots.recover(spark, str(tmp_path), log.where("epoch <= 19737 or op in ('insert', 'update', 'delete')"), 99999).collect()}
-    both = log_fold.upto(log, 19737).unionByName(later)
-    assert got == {r.key: r.value for r in log_fold.fold(both).where("alive").collect()}
+    for snapshot in (19737, 19740, 19740):  # the last is written again
+        snapshots.write(log_fold.fold(log_fold.upto(log, snapshot)), str(tmp_path), snapshot, 0, snapshot)
+    got = {r.key: r.value for r in snapshots.recover(spark, str(tmp_path), log, 99999).collect()}
+    assert got == {r.key: r.value for r in log_fold.fold(log).where("alive").collect()}
+    assert snapshots.recover(spark, str(tmp_path / "none"), log, 99999).count() == len(got)
+    assert spark.read.json(str(tmp_path / "metadata")).count() == 2
+
+
+def test_deleted_keys_stay_dead(spark, tmp_path):
+    from chronofold.operators import log_fold
+
+    log = spark.createDataFrame([(1, "insert", 7, 1, 1), (1, "delete", 0, 2, 2), (1, "increment", 5, 4, 3)], "key long, op string, value long, epoch long, ordinal long")
+    snapshots.write(log_fold.fold(log_fold.upto(log, 3)), str(tmp_path), 1, 0, 3)
+    assert snapshots.recover(spark, str(tmp_path), log, 9).count() == 0
+
+
+def test_snapshot_trigger():
+    assert snapshots.due(100, 50, 3, 9) is None and snapshots.due(100, 40, 3, 9) == 9 and snapshots.due(100, 0, 9, 9) is None
+    assert snapshots.due(0, 0, 3, 9, wanted=5) == 5
+    with pytest.raises(snapshots.NotDurable):
+        snapshots.due(0, 0, 3, 9, wanted=10)
+    with pytest.raises(snapshots.NotNewer):
+        snapshots.due(0, 0, 3, 9, wanted=3)
+
+
+def test_repeated_incoming_keys(spark):
+    base = spark.createDataFrame([(1, "aa")], "k long, v string")
+    new = spark.createDataFrame([(1, "bb", 1), (1, "ba", 2), (2, "c", 1), (2, "d", 0)], "k long, v string, o long")
+    assert {r.k: (r.v, r.op) for r in dml.upsert(base, new, "k", "v", "o").collect()} == {1: ("ba", "overwrite"), 2: ("c", "insert")}
+    assert {r.k: r.v for r in dml.overwrite(base, new, "k", "v").collect()} == {1: "bb"}
+    assert sorted((r.k, r.o, r.status) for r in dml.insert_outcomes(base, new, "k", "o").collect()) == [(1, 1, "KEY_ALREADY_EXISTS"), (1, 2, "KEY_ALREADY_EXISTS"), (2, 0, "OK"), (2, 1, "KEY_ALREADY_EXISTS")]
+    parts = spark.createDataFrame([("abcd", "XYZ")], "p string, x string").select(dml.overwrite_part(F.col("p"), 4, F.col("x")).alias("long"), dml.overwrite_part(F.col("p"), 1, F.col("x")).alias("fits"))
+    assert tuple(parts.first()) == ("abcd", "aXYZ")
+
+
+def test_keys_beyond_doubles(spark):
+    big = spark.createDataFrame([((1 << 53) + 1,)], "k long")
+    assert tuple(big.select(*keys.extract(F.col("k"), [1])).first()) == ((1 << 53) + 1, 0)
+    state = 12345
+    from chronofold.functions import random as draws
+
+    row = spark.range(1).select(F.lit(state).cast("decimal(20,0)").alias("s")).select(draws.following(F.col("s")).alias("a"), draws.following(draws.following(F.col("s"))).alias("b"), draws.drawn(F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")).alias("c")).first()
+    step = lambda x: (x * 0xD04C3175 + 0x53DA9022) % (1 << 64)
+    assert (int(row.a), int(row.b), row.c) == (step(state), step(step(state)), 0)
+
+
+def test_log_is_sorted(spark, small):
+    log = compaction.log_sort(events_log(spark, small), 5)
+    rows = log.select(F.spark_partition_id().alias("run"), "key", "epoch", "ordinal").collect()
+    assert [tuple(r)[1:] for r in rows] == sorted(tuple(r)[1:] for r in rows) and len({r.run for r in rows}) > 1
+
+
+def test_order_modes(spark):
+    rows = spark.createDataFrame([(2, 1, 5, 1), (1, 2, 9, 2), (1, 1, 7, 3), (1, 2, 3, 4)], "node long, core long, epoch long, ordinal long")
+    assert [r.ordinal for r in sequential.ordered(rows, "node_first").collect()] == [3, 4, 2, 1]
+    assert [r.ordinal for r in sequential.ordered(rows, "epoch").collect()] == [4, 1, 3, 2]
+    with pytest.raises(sequential.InvalidParameter):
+        sequential.ordered(rows, "other")
+
+
+def test_procedures(spark):
+    made = procedures.Procedures()
+    made.register("one", lambda s, n: s.range(n))
+    for name, error in (("one", procedures.ProcedureAlreadyExists), ("", procedures.ProcedureNameTooLong), ("x" * 61, procedures.ProcedureNameTooLong)):
+        with pytest.raises(error):
+            made.register(name, lambda s: s.range(1))
+    made.start()
+    with pytest.raises(procedures.RegistryStarted):
+        made.register("two", lambda s: s.range(1))
+    made.register_local(3, "one", lambda s, n: s.range(2 * n))
+    assert made.run(spark, "one", 2).count() == 2 and made.run(spark, "one", 2, node=3).count() == 4
+    with pytest.raises(procedures.ProcedureNotFound):
+        made.find("none")
+
+
+def test_streams_go_on(spark, tmp_path):
+    """A second file after a restart, late rows, retention."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, datetime.fromisoformat(ts), u, "view", v) for i, ts, u, v in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = epochs.read_events(spark, source, schema)
+        epochs.append_sink(stream, out, str(tmp_path / "c1")).awaitTermination()
+        log = stream.select(F.col("user_id").alias("key"), F.lit("increment").alias("op"), F.col("value").cast("long").alias("value"), "epoch", F.col("event_id").alias("ordinal"))
+        epochs.continuous_fold(log, str(tmp_path / "state"), str(tmp_path / "c2")).awaitTermination()
+        epochs.throughput(stream).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "hours")).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
+
+    arrive((1, "2024-01-01 10:00:00", 1, 5.0), (2, "2024-01-05 10:00:00", 2, 7.0))
+    arrive((3, "2024-01-01 11:00:00", 1, 6.0), (4, "2024-01-09 10:00:00", 2, 1.0))  # the first is later than the grace allows
+    state = spark.read.parquet(str(tmp_path / "state" / "state=1"))
+    assert {r.key: r.value for r in state.collect()} == {1: 11, 2: 8}
+    assert spark.read.parquet(out).count() == 4
+    hours = {(str(r.bucket.start), r.n) for r in spark.read.parquet(str(tmp_path / "hours")).collect()}
+    assert ("2024-01-01 10:00:00", 1) in hours and not any("11:00:00" in h for h, _ in hours)
+    assert epochs.expire(spark, out, 19727) == [19723] and sorted(r.event_id for r in spark.read.parquet(out).collect()) == [2, 4]
 
 
 def test_text_sources(spark, tmp_path):
