@@ -118,22 +118,39 @@ def test_one_of_each_by_row(spark, odd_docs):
     assert sorted((str(r.doc_id) for r in ngram_join.one_of_each(odd_docs).collect())) == ["1", "2", "3", "4", "6", "7", "8", "None"]
 
 
-def plain_cut(rows):
+def least_runs(lines):
+    """(places, lines) of the shortest runs of 10 words from each line with words, and up to each."""
+    words = [len(x.split()) for x in lines]
+    for i, n in enumerate(words):
+        for step in (1, -1):
+            j, have = i, n
+            while have < 10 and 0 <= j + step < len(lines):
+                j += step
+                have += words[j]
+            if n and have >= 10:
+                lo, hi = min(i, j), max(i, j)
+                yield range(lo, hi + 1), tuple(lines[lo : hi + 1])
+
+
+def check_cut(rows, gone):
+    """Whether just common runs go, and none is left, by looking up every run of every document; no code is shared with the operator."""
     lines = {i: [x.strip(" \t\r") for x in (t or "").split("\n")] for i, t in rows}
-    words = lambda x: len(re.split(r"\s+", x)) if x else 0
-    owner = {}
+    earlier = set()
     for i in sorted(lines):
-        for x in lines[i]:
-            if words(x) >= 10:
-                owner.setdefault(x, i)
-    out = {}
-    for i, t in rows:
-        gone = set()
-        for first in {owner[x] for x in lines[i] if owner.get(x, i) < i}:
-            gone.update(line_dedup.common_blocks(lines[first], lines[i], [words(x) for x in lines[i]]))
-        kept = [x for k, x in enumerate((t or "").split("\n")) if k not in gone]
-        out[i] = t if not gone else "" if all(not x.strip() for x in kept) else "\n".join(kept)
-    return out
+        own = list(least_runs(lines[i]))
+        common = {p for places, run in own if run in earlier for p in places}
+        assert all(not lines[i][p] for p in gone.get(i, set()) - common)  # a block's empty lines are in no shortest run at its ends
+        assert not any(run in earlier and gone.get(i, set()).isdisjoint(places) for places, run in own)
+        earlier.update(run for _, run in own)
+
+
+def gone_of(docs):
+    return {r.id: {g["at"] for g in r.gone} for r in line_dedup.deletions(docs).collect()}
+
+
+def text_without(text, gone):
+    kept = [x for k, x in enumerate((text or "").split("\n")) if k not in gone]
+    return text if not gone else "" if all(not x.strip() for x in kept) else "\n".join(kept)
 
 
 def test_line_dedup(spark):
@@ -141,14 +158,15 @@ def test_line_dedup(spark):
     pool = [" ".join(f"{draw.choice('abcdefg')}{draw.randrange(30)}" for _ in range(draw.choice([2, 5, 10, 14, 55]))) for _ in range(60)]
     rows = [(i, "\n".join(draw.choice(pool) if draw.random() < 0.5 else f"own line {i} {j}" for j in range(draw.randrange(1, 12)))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.cut(docs).collect()}
-    assert got == plain_cut(rows)
+    got, gone = {r.doc_id: r.text for r in line_dedup.cut(docs).collect()}, gone_of(docs)
+    check_cut(rows, gone)
+    assert gone and got == {i: text_without(t, gone.get(i, set())) for i, t in rows}
     left = collections.Counter(x for t in got.values() for x in set(t.split("\n")) if len(x.split()) >= 10)
     assert max(left.values()) == 1
 
 
 def all_pairs_cut(rows):
-    """As plain_cut, but each document is compared with every earlier one."""
+    """Each document is compared with every earlier one."""
     lines = {i: [x.strip(" \t\r") for x in t.split("\n")] for i, t in rows}
     out = {}
     for i, t in rows:
@@ -172,6 +190,7 @@ def test_line_dedup_short_lines(spark):
     rows += [(200, "one two three four\n\nfive six seven\n eight nine ten\nown 200"), (201, "own 201\none two three four\n\nfive six seven\neight nine ten")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.cut(docs).collect()}
+    check_cut(rows, gone_of(docs))
     assert got == all_pairs_cut(rows) and got[201] == "own 201"
     assert any(len(x.split()) < 10 and t.count(x) > got[i].count(x) for i, t in rows for x in t.split("\n") if x)
 
@@ -191,6 +210,11 @@ def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 6, 7, 8]
 
 
+def test_texts_in_opposite_orders():
+    lines = list(range(20_000))
+    assert line_dedup.common_blocks(lines, lines[::-1], [12] * len(lines)) == lines  # quadratic steps would take minutes
+
+
 def test_alignment():
     a, b = list("abcdefgh"), list("xabyefgz")
     assert line_dedup.aligned(a, b) == [(0, 1), (1, 2), (4, 4), (5, 5), (6, 6)]
@@ -213,10 +237,15 @@ def test_pipeline(spark, small, tmp_path):
     left = spark.read.parquet(str(tmp_path / "decontamination"))
     assert rows["toxicity"] > rows["ngram_join"] >= rows["decontamination"] > 0
     assert before.select("doc_id").distinct().count() == left.count()
-    assert plain_cut(sorted((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "toxicity")).collect())) | {} == {
-        **{i: "" for i, in spark.read.parquet(str(tmp_path / "toxicity")).select("doc_id").collect()},
-        **{r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "line_dedup")).collect()},
-    }
+    toxic = spark.read.parquet(str(tmp_path / "toxicity"))
+    texts, gone = [(r.doc_id, r.text) for r in toxic.collect()], gone_of(toxic)
+    check_cut(texts, gone)
+    cut = {i: text_without(t, gone.get(i, set())) for i, t in texts}
+    assert {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "line_dedup")).collect()} == {i: t for i, t in cut.items() if t or not gone.get(i)}
+    single = spark.read.parquet(str(tmp_path / "line_dedup")).select("doc_id", "text").collect()
+    alike = {i: c for i, _, c in plain_components_of([tuple(r) for r in single], 5, 80)}
+    kept = [r.doc_id for r in spark.read.parquet(str(tmp_path / "ngram_join")).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(alike.values()))
     whole = corpus_pipeline.run(spark, small)
     assert whole.agg(F.sum("length")).first()[0] == before.agg(F.sum("length")).first()[0]
     assert np.isclose(whole.count(), rows["packing"], atol=5)

@@ -256,6 +256,56 @@ def test_language_model_is_ppm():
     assert bits.shape == (1, 2) and bits[0, 0] < bits[0, 1]
 
 
+def naive_bits(training, text):
+    """Bits of a text in each language by PPM with escape method C and exclusion, byte by byte, from counts in dictionaries."""
+    start = b"\n" * language_id.ORDER
+    fold = bytes.lower  # A-Z only
+    data = {k: fold(start + start.join(v) + start) for k, v in training.items()}
+    keeps = set()
+    for x in data.values():
+        seen = {}
+        for i in range(3, len(x)):
+            seen[x[i - 3 : i]] = seen.get(x[i - 3 : i], 0) + 1
+        keeps |= {c for c, n in seen.items() if n >= language_id.KEPT}
+    used = sorted({c for x in data.values() for c in x})
+    out = {}
+    for name, x in data.items():
+        counts = {}
+        for order in range(4):
+            for i in range(order, len(x)):
+                row = counts.setdefault(x[i - order : i], {})
+                row[x[i]] = row.get(x[i], 0) + 1
+
+        def p(context, byte):
+            if len(context) == 3 and context not in keeps:
+                return p(context[1:], byte)
+            shorter = (lambda b: 1 / 256) if not context else lambda b: p(context[1:], b)
+            row = counts.get(context, {})
+            if not row:
+                return shorter(byte)
+            total = sum(row.values()) + len(row)
+            if byte in row:
+                return row[byte] / total
+            left = 1 - sum(shorter(b) for b in row)
+            return len(row) / total * shorter(byte) / left
+
+        whole = fold(start + text + b"\n")
+        out[name] = sum(-np.log2(p(whole[i - 3 : i], whole[i])) for i in range(3, len(whole)))
+    assert len(used) < language_id.CLASSES
+    return out
+
+
+def test_language_bits_are_exact_and_local():
+    training = {"aa": [b"una casa grande", b"la casa casa"], "bb": [b"the house is big", b"that house there"]}
+    model = language_id.Model(training)
+    texts = [b"una casa", b"the casa", b"una casa", b"", b"house", b"una casa"]
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    bits = model.code_lengths(np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8), bounds)
+    assert (bits[0] == bits[2]).all() and (bits[0] == bits[5]).all()  # whatever stands before
+    for text, got in zip(texts, bits):
+        assert np.allclose(got, list(naive_bits(training, text).values()), rtol=1e-4)
+
+
 def test_language_id(spark, small, odd_docs, no_docs):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = language_id.op5_language_id(spark, small).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null")
@@ -302,6 +352,40 @@ def test_collapsed_table_equals_kernel():
     assert np.allclose(direct, toxicity.margins(symbols, kernel.collapse(linear))[places], rtol=1e-3, atol=1e-3)
 
 
+def test_kernel_by_enumeration():
+    from itertools import combinations
+
+    text, other = "some idiot here", "an idxiot is"
+    (a, begin_a), (b, begin_b) = toxicity.fold([text]), toxicity.fold([other])
+
+    def subsequences(symbols, place):
+        found = {}
+        for start in range(place, place + toxicity.STARTS):
+            for rest in combinations(range(1, toxicity.SPAN), toxicity.LENGTH - 1):
+                word = tuple(int(symbols[start + i]) for i in (0, *rest))
+                found[word] = found.get(word, 0) + toxicity.DECAY ** (rest[-1] + 1)
+        return found
+
+    def value(x, y):
+        return sum(w * y.get(k, 0) for k, w in x.items())
+
+    for i in (0, 3, 6):
+        for j in (0, 3, 4):
+            code, weight = toxicity.features(np.concatenate([a, b]), np.array([begin_a[0] + i, len(a) + begin_b[0] + j]))
+            phi = toxicity.Nystroem(code, weight).phi
+            want = value(subsequences(a, int(begin_a[0]) + i), subsequences(b, int(begin_b[0]) + j))
+            assert np.isclose(phi[:, 0] @ phi[:, 1], want, rtol=1e-4, atol=1e-6)
+
+
+def test_toxicity_keeps_clashing_columns(spark, machine, odd_docs):
+    docs = odd_docs.withColumn("toxicity_score", F.lit("own")).withColumn("label", F.lit("own"))
+    assert toxicity.score(docs, machine[0]).schema["toxicity_score"].dataType.simpleString() == "double"
+    kept = toxicity.reject(docs, machine[0])
+    assert kept.columns == docs.columns and {r.toxicity_score for r in kept.collect()} == {"own"}
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, toxic int")
+    assert len(toxicity.sample(docs.unionByName(docs), labels, key="doc_id", text="text", label="toxic")[0]) == 1  # the other is too long
+
+
 def test_toxicity_rows(spark, machine, odd_docs, no_docs):
     assert toxicity.score(odd_docs, machine[0]).count() == 10
     assert set(toxicity.score(odd_docs, machine[0]).columns) == {*odd_docs.columns, "toxicity_score"}
