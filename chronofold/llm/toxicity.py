@@ -328,7 +328,7 @@ def reject(docs: DataFrame, machine: Machine | None, *, text: str = "text", leas
 
 
 def _scored(batches: Iterable[pa.RecordBatch], text: str, machine: Machine | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in (part for whole in batches for part in chunks(whole, text, 1 << 20)):
+    for batch in (part for whole in batches for part in chunks(whole, text, 1 << 18)):
         texts = [t or "" for t in batch.column(text).to_pylist()]
         yield batch, machine.scores(texts) if machine else np.zeros(len(texts))
 
