@@ -52,7 +52,7 @@ TILE = 512
 TILE_CODES = 1 << 20
 #: Bytes of text hashed at once, which fit a core's cache.
 CHUNK = 1 << 19
-SEEN = 1 << 19
+SEEN = 1 << 17
 #: The bytes of words are all but ASCII white space.
 WORD_BYTES = table_of("20-20 09-0d", invert=True)
 U = np.uint64
@@ -150,7 +150,7 @@ def survey(docs: DataFrame, key: str, text: str, seed: int, shingle: int) -> Dat
             sets = Sets(batch.column(text), seed, shingle)
             yield rows(0, batch.column(key), sets.node, sets.check, sets.n)
             held.append(sets.token[sets.ranges(fresh(sets.node))])
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield frequent()
         if held:
             yield frequent()
