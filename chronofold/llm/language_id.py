@@ -142,9 +142,11 @@ def crc_part(key: str, parts: int):
 def sample_by_language(rows: DataFrame, *, key: str, lang: str, text: str, size: int = SAMPLE) -> dict[str, list[bytes]]:
     """About ``size`` texts of each language, by a hash of the key; only these come to the driver."""
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    own = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), drawn.alias("__drawn"), F.col(text).alias("__text"))
+    own = rows.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), drawn.alias("__drawn"), F.col(text).alias("__text"))
     counts = own.groupBy("__lang").agg(F.count("*").alias("__n"))
-    chosen = own.where(F.length("__text").between(1, SAMPLE_CHARS)).join(counts, "__lang").where(F.col("__drawn") * F.col("__n") < size)
+    # ids are drawn without their texts; about ``size`` of each language, which is a bound, so they may be broadcast
+    drawn_ids = own.select("__lang", "__key", "__drawn").join(counts, "__lang").where(F.col("__drawn") * F.col("__n") < size).select("__lang", "__key").distinct()
+    chosen = own.where(F.length("__text").between(1, SAMPLE_CHARS)).join(F.broadcast(drawn_ids), ["__lang", "__key"])
     found: dict[str, list[bytes]] = {}
     for r in chosen.groupBy("__lang", "__key").agg(F.min("__text").alias("text")).collect():  # one text for each id
         found.setdefault(r["__lang"], []).append(r["text"].encode())
