@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -377,6 +379,24 @@ def test_kernel_by_enumeration():
             assert np.isclose(phi[:, 0] @ phi[:, 1], want, rtol=1e-4, atol=1e-6)
 
 
+def test_toxicity_of_held_out_labels(spark):
+    """Each held-out toxic document that holds a word of toxic learnt documents alone is caught, and few clean ones are."""
+    sf = "/root/testdata/sf0.1"
+    scored = {r.doc_id: r for r in toxicity.op3_toxicity(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").join(labels, "doc_id").collect()
+    seen = {0: Counter(), 1: Counter()}
+    words = {r.doc_id: set(re.findall(r"\w+", (r.text or "").lower())) for r in rows}
+    for r in rows:
+        if not scored[r.doc_id].held_out:
+            seen[r.toxic].update(words[r.doc_id])
+    insults = {w for w, n in seen[1].items() if n >= 50 and not seen[0][w]}
+    marked = [scored[r.doc_id] for r in rows if r.toxic == 1 and scored[r.doc_id].held_out and words[r.doc_id] & insults]
+    clean = [scored[r.doc_id] for r in rows if r.toxic == 0 and scored[r.doc_id].held_out]
+    assert len(marked) >= 40 and all(r.predicted == 1 for r in marked)
+    assert len(clean) >= 500 and sum(r.predicted for r in clean) <= 0.04 * len(clean)
+
+
 def test_toxicity_keeps_clashing_columns(spark, machine, odd_docs):
     docs = odd_docs.withColumn("toxicity_score", F.lit("own")).withColumn("label", F.lit("own"))
     assert toxicity.score(docs, machine[0]).schema["toxicity_score"].dataType.simpleString() == "double"
