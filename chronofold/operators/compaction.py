@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from chronofold.operators.neighbours import neighbour
 
 
 def compact_increments(log: DataFrame, *by: str, value: str = "value") -> DataFrame:
@@ -14,10 +15,9 @@ def compact_increments(log: DataFrame, *by: str, value: str = "value") -> DataFr
 
 def compact_overwrites(log: DataFrame) -> DataFrame:
     """Overwrites (key, epoch, ordinal, begin, count) without those that the next one of the key covers."""
-    w = Window.partitionBy("key").orderBy("epoch", "ordinal")
-    nxt = log.withColumn("_b", F.lead("begin").over(w)).withColumn("_e", F.lead(F.col("begin") + F.col("count")).over(w))
-    covered = (F.col("_b") <= F.col("begin")) & (F.col("_e") >= F.col("begin") + F.col("count"))
-    return nxt.where(~F.coalesce(covered, F.lit(False))).drop("_b", "_e")
+    nxt = neighbour(log, "key", ["epoch", "ordinal"], F.col("begin").alias("b"), (F.col("begin") + F.col("count")).alias("e"), after=True)
+    covered = (F.col("_near.b") <= F.col("begin")) & (F.col("_near.e") >= F.col("begin") + F.col("count"))
+    return nxt.where(~F.coalesce(covered, F.lit(False))).select(*log.columns)
 
 
 def log_sort(log: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -41,6 +41,11 @@ def insert_outcomes(base: DataFrame, incoming: DataFrame, key: str, order: str)
     return marked.withColumn("status", F.when(ok, "OK").otherwise("KEY_ALREADY_EXISTS")).drop("_first", "_in_base")
 
 
+def insert_keys(index: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:
+    """Records without a payload (index entries) that an insert adds: the incoming keys that are absent, each once."""
+    return incoming.select(*key).distinct().join(index.select(*key), list(key), "left_anti")
+
+
 def overwrite_outcomes(base: DataFrame, incoming: DataFrame, key: str, value: str, offset: int) -> DataFrame:
     """(key, value after, status) of overwrites of a part (column ``value`` of ``incoming``) at ``offset`` bytes: OK,
     KEY_NOT_FOUND, or TOO_SHORT_PAYLOAD where the part does not fit; one row an incoming key, its last."""

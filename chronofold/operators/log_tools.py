@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronofold.operators.neighbours import neighbour
+
 
 def log_scan(log: DataFrame, begin: int | None = None, end: int | None = None, limit: int | None = None) -> DataFrame:
     """Log rows of epochs begin <= epoch <= end in serial order, at most ``limit`` (the tool's own option)."""
@@ -30,8 +32,8 @@ def epoch_marks(log: DataFrame) -> DataFrame:
 
 def inconsistencies(log: DataFrame, writer: str) -> DataFrame:
     """Rows of a writer that break the log's rules: time going back, an epoch skipped, a repeated ordinal, a value out of range."""
-    w = Window.partitionBy(writer).orderBy("ordinal")
-    marked = log.withColumn("_epoch", F.lag("epoch").over(w)).withColumn("_ordinal", F.lag("ordinal").over(w))
+    marked = neighbour(log, writer, ["ordinal"], F.col("epoch"), F.col("ordinal"))
+    marked = marked.select(*log.columns, F.col("_near.epoch").alias("_epoch"), F.col("_near.ordinal").alias("_ordinal"))
     kind = (
         F.when(F.col("epoch") < F.col("_epoch"), "EPOCH_GOES_BACK")
         .when(F.col("ordinal") == F.col("_ordinal"), "ORDINAL_REPEATS")
@@ -48,6 +50,30 @@ def occ_conflicts(observed: DataFrame, current: DataFrame, key: str, version: st
     return both.where(~F.col("observed_version").eqNullSafe(F.col("current_version")))
 
 
+def page_versions(log: DataFrame, key: str, page: int, version: str) -> DataFrame:
+    """(page, version) of each range of ``page`` keys: the last insert or delete in it, which is what a scan of the range depends on."""
+    moves = log.where(F.col("op").isin("insert", "delete"))
+    return moves.groupBy(F.floor(F.col(key) / page).cast("long").alias("page")).agg(F.max(version).alias(version))
+
+
+def precommit(reads: DataFrame, versions: DataFrame, scans: DataFrame, pages: DataFrame, txn: str, key: str, version: str) -> DataFrame:
+    """(txn, n_stale, n_phantom, outcome, commit_version) of each transaction at commit.
+
+    ``reads`` (txn, key, version) are checked against the current ``versions`` (key, version), and the ranges of ``scans``
+    (txn, page, version; version null where a range had none) against ``pages`` (page, version): a range whose version moved
+    may hold phantoms. Any such row aborts; else the commit comes after the last version seen (0: nothing was)."""
+
+    def checked(seen: DataFrame, current: DataFrame, on: str) -> DataFrame:
+        both = seen.join(current.select(on, F.col(version).alias("_now")), on, "left")
+        return both.select(txn, F.col(version).alias("_seen"), (~F.col(version).eqNullSafe(F.col("_now"))).cast("long").alias("_moved"))
+
+    none = F.lit(0).cast("long")
+    every = checked(reads, versions, key).withColumn("_phantom", none).unionByName(checked(scans, pages, "page").select(txn, "_seen", none.alias("_moved"), F.col("_moved").alias("_phantom")))
+    done = every.groupBy(txn).agg(F.sum("_moved").alias("n_stale"), F.sum("_phantom").alias("n_phantom"), F.coalesce(F.max("_seen"), F.lit(0)).alias("_last"))
+    ok = F.col("n_stale") + F.col("n_phantom") == 0
+    return done.select(txn, "n_stale", "n_phantom", F.when(ok, "OK").otherwise("RACE_ABORT").alias("outcome"), F.when(ok, F.col("_last") + 1).alias("commit_version"))
+
+
 def sparse_union(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame:
     """A row for each (table, key), with the value in the table's own column and null in the others."""
     parts = [t.select(F.col(key), F.col(value).alias(name)) for name, t in sorted(tables.items())]

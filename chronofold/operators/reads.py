@@ -64,3 +64,11 @@ def scan_limit(table: DataFrame, key: str, start, n: int, *columns: str) -> Data
     """At most ``n`` records from ``start`` on, in key order: a top-n, no full sort."""
     rows = table.where(F.col(key) >= start)
     return (rows.select(*columns) if columns else rows).orderBy(key).limit(n)
+
+
+def page_boundaries(table: DataFrame, key: str, pages: int, accuracy: int = 1 << 20) -> DataFrame:
+    """(page, low): about the least key of each of ``pages`` ranges of like size, from a mergeable sketch of the keys; a hint
+    for dealing out work, with an error of 1 / accuracy of the rows. No rows for a table without keys."""
+    cuts = F.expr("array(" + ", ".join(f"{i / pages}D" for i in range(pages)) + ")")
+    found = table.agg(F.percentile_approx(key, cuts, accuracy).alias("_low"))
+    return found.select(F.posexplode("_low").alias("page", "low"))

@@ -145,9 +145,9 @@ def log_by_storage(spark: SparkSession, d: str) -> DataFrame:
     return compaction.log_by_storage(events_log(spark, d).withColumnRenamed("event_type", "storage"), "storage")
 
 
-@query(f"WITH {LOG_SQL} SELECT key, op, value, epoch, ordinal FROM log WHERE epoch BETWEEN {BEGIN} AND {END} ORDER BY epoch, ordinal LIMIT 500")
+@query(f"WITH {LOG_SQL} SELECT key, op, value, epoch, ordinal FROM log WHERE epoch BETWEEN {BEGIN} AND {END}")
 def log_scan(spark: SparkSession, d: str) -> DataFrame:
-    return log_tools.log_scan(events_log(spark, d), BEGIN, END, 500).select("key", "op", "value", "epoch", "ordinal")
+    return log_tools.log_scan(events_log(spark, d), BEGIN, END).select("key", "op", "value", "epoch", "ordinal")
 
 
 @query(f"WITH {LOG_SQL} SELECT CAST(count(*) AS BIGINT) AS n, min(epoch) AS min_epoch, max(epoch) AS max_epoch, min(ordinal) AS min_ordinal, max(ordinal) AS max_ordinal FROM log")
@@ -178,6 +178,27 @@ def occ_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return log_tools.occ_conflicts(observed, current, "key", "ordinal")
 
 
+_PAGE = 16
+
+
+@query(
+    f"WITH {LOG_SQL}, o AS (SELECT key, max(ordinal) AS v FROM log WHERE epoch <= {SNAPSHOT} GROUP BY key), c AS (SELECT key, max(ordinal) AS v FROM log WHERE epoch <= {SNAPSHOT + 1} GROUP BY key), "
+    f"m AS (SELECT key // {_PAGE} AS page, max(ordinal) FILTER (epoch <= {SNAPSHOT}) AS v, max(ordinal) FILTER (epoch <= {SNAPSHOT + 1}) AS now FROM log WHERE op IN ('insert', 'delete') GROUP BY page) "
+    f"SELECT key, CAST(stale AS BIGINT) AS n_stale, CAST(moved AS BIGINT) AS n_phantom, CASE WHEN stale + moved = 0 THEN 'OK' ELSE 'RACE_ABORT' END AS outcome, CASE WHEN stale + moved = 0 THEN greatest(seen, coalesce(page_seen, 0)) + 1 END AS commit_version "
+    f"FROM (SELECT o.key, o.v AS seen, m.v AS page_seen, CASE WHEN o.v <> c.v THEN 1 ELSE 0 END AS stale, CASE WHEN m.v IS DISTINCT FROM m.now THEN 1 ELSE 0 END AS moved FROM o JOIN c ON c.key = o.key LEFT JOIN m ON m.page = o.key // {_PAGE})"
+)
+def precommit(spark: SparkSession, d: str) -> DataFrame:
+    """A transaction for each key at the snapshot, which read it and scanned its range, and commits an epoch later."""
+    log = events_log(spark, d)
+    then, now = log_fold.upto(log, SNAPSHOT), log_fold.upto(log, SNAPSHOT + 1)
+    seen = log_fold.latest_version(then).select("key", "ordinal")
+    reads = seen.select(F.col("key").alias("txn"), "key", "ordinal")
+    pages = log_tools.page_versions(then, "key", _PAGE, "ordinal")
+    scans = seen.select(F.col("key").alias("txn"), F.floor(F.col("key") / _PAGE).cast("long").alias("page")).join(pages, "page", "left")
+    done = log_tools.precommit(reads, log_fold.latest_version(now), scans, log_tools.page_versions(now, "key", _PAGE, "ordinal"), "txn", "key", "ordinal")
+    return done.withColumnRenamed("txn", "key")
+
+
 @query("SELECT s_nationkey AS k, CAST(NULL AS DOUBLE) AS customers, CAST(count(*) AS DOUBLE) AS suppliers FROM supplier GROUP BY k UNION ALL SELECT c_nationkey, CAST(count(*) AS DOUBLE), NULL FROM customer GROUP BY 1")
 def tsv_sparse_union(spark: SparkSession, d: str) -> DataFrame:
     tallies = {name: table(spark, d, t).groupBy(F.col(k).alias("k")).agg(F.count("*").cast("double").alias("n")) for name, t, k in (("customers", "customer", "c_nationkey"), ("suppliers", "supplier", "s_nationkey"))}

@@ -194,6 +194,19 @@ def normalize_key(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(counts, "range").select("v", "code", (F.col("before") + F.col("rank")).alias("place"))
 
 
+@query("SELECT CAST(unnest(range(16)) AS BIGINT) AS page, unnest(quantile_disc(o_orderkey, [i / 16.0 for i in range(16)])) AS low FROM orders")
+def page_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return reads.page_boundaries(table(spark, d, "orders"), "o_orderkey", 16).select(F.col("page").cast("long").alias("page"), "low")
+
+
+@query("SELECT DISTINCT c_nationkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F'")
+def insert_index_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Entries (nation, order) without payload: those of finished orders are there, those of all orders come in."""
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    entries = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").join(nation, "o_custkey")
+    return dml.insert_keys(entries.where("o_orderstatus = 'F'"), entries, "c_nationkey", "o_orderkey")
+
+
 @query("SELECT c_custkey, rpad(hex(encode(substr(c_name, 1, 8))), 16, '0') AS layer0, rpad(hex(encode(substr(c_name, 9, 8))), 16, '0') AS layer1, rpad(hex(encode(substr(c_name, 17, 8))), 16, '0') AS layer2 FROM customer")
 def key_slice(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", *(keys.key_slice(F.col("c_name"), i).alias(f"layer{i}") for i in range(3)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronofold.functions import keys
-from chronofold.operators import catalog, compaction, dml, log_tools, procedures, reads, sequential
+from chronofold.operators import catalog, compaction, dml, log_tools, neighbours, procedures, reads, sequential
 from chronofold.plans.common import events_log
 from chronofold.session import table
 from chronofold.sources import snapshots
@@ -234,3 +234,43 @@ def test_lost_reads_conflict(spark):
     seen = spark.createDataFrame([(1, 1), (2, 1), (3, None)], "k long, v long")
     now = spark.createDataFrame([(1, 1), (2, 2)], "k long, v long")
     assert [r.k for r in log_tools.occ_conflicts(seen, now, "k", "v").collect()] == [2]
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_neighbours_across_spans(spark, after):
+    rows = [(k, e, o) for k, n in ((1, 40), (2, 1), (None, 9)) for e in (3, 4) for o in range(e, e + n)]
+    log = spark.createDataFrame(rows, "key long, epoch long, ordinal long").repartition(5)
+    got = neighbours.neighbour(log, "key", ["epoch", "ordinal"], F.col("epoch"), F.col("ordinal"), after=after, span=7)
+    got = {(r.key, r.epoch, r.ordinal): r._near and (r._near.epoch, r._near.ordinal) for r in got.collect()}
+    expected = {}
+    for k in (1, 2, None):
+        own = sorted((e, o) for key, e, o in rows if key == k)
+        for i, (e, o) in enumerate(own):
+            at = i + 1 if after else i - 1
+            expected[k, e, o] = own[at] if 0 <= at < len(own) else None
+    assert got == expected
+
+
+def test_neighbours_of_few_rows(spark):
+    log = spark.createDataFrame([(1, 5)], "key long, ordinal long")
+    assert not neighbours.neighbour(log.where("key > 1"), "key", ["ordinal"], F.col("ordinal")).collect()
+    assert neighbours.neighbour(log, "key", ["ordinal"], F.col("ordinal")).first()._near is None
+
+
+def test_precommit(spark):
+    reads_ = spark.createDataFrame([(1, 10, 4), (1, 11, 6), (2, 10, 4), (2, 12, 5), (3, 13, 2), (4, 11, 6)], "txn long, key long, ordinal long")
+    versions = spark.createDataFrame([(10, 4), (11, 6), (12, 9), (14, 1)], "key long, ordinal long")  # 12 moved, 13 is gone
+    scans = spark.createDataFrame([(1, 0, None), (4, 0, None), (4, 1, None), (5, 2, 8), (6, 9, None)], "txn long, page long, ordinal long")
+    pages = spark.createDataFrame([(1, 7), (2, 8)], "page long, ordinal long")  # a key came into the empty page 1
+    got = {r.txn: (r.n_stale, r.n_phantom, r.outcome, r.commit_version) for r in log_tools.precommit(reads_, versions, scans, pages, "txn", "key", "ordinal").collect()}
+    assert got == {
+        1: (0, 0, "OK", 7), 2: (1, 0, "RACE_ABORT", None), 3: (1, 0, "RACE_ABORT", None), 4: (0, 1, "RACE_ABORT", None), 5: (0, 0, "OK", 9), 6: (0, 0, "OK", 1),
+    }
+
+
+def test_key_only_inserts_and_boundaries(spark):
+    index = spark.createDataFrame([(1, 1), (1, 2)], "a long, b long")
+    incoming = spark.createDataFrame([(1, 2), (2, 1), (2, 1)], "a long, b long")
+    assert [tuple(r) for r in dml.insert_keys(index, incoming, "a", "b").collect()] == [(2, 1)]
+    assert [r.low for r in reads.page_boundaries(spark.range(1, 101), "id", 4).orderBy("page").collect()] == [1, 25, 50, 75]
+    assert reads.page_boundaries(spark.range(0), "id", 4).collect() == []

@@ -47,8 +47,10 @@ def test_runs(spark, small, name):
 
 def test_ycsb_read_of_a_larger_table(spark, tmp_path):
     spark.range(19_000, 40_000).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(18_000, 39_000).selectExpr("id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
     larger = duckdb.connect()
-    larger.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    for t in ("customer", "orders"):
+        larger.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     df = catalogue.QUERIES["ycsb_read"](spark, str(tmp_path))
     expected = larger.execute(catalogue.ORACLES["ycsb_read"])
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in expected.description], expected.fetchall())
