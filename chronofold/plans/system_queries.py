@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronofold.functions import codecs, keys, random
-from chronofold.operators import dml, sequential
+from chronofold.operators import dml, log_files, sequential
 from chronofold.operators.procedures import Procedures
 from chronofold.plans.common import SNAPSHOT, Registry, events_log
 from chronofold.plans.workload_queries import q_last_order
@@ -293,3 +293,33 @@ def partition_balance(spark: SparkSession, d: str) -> DataFrame:
     log = events_log(spark, d).where(F.col("epoch") > SNAPSHOT).repartitionByRange(8, "key", "ordinal")
     runs = log.groupBy(F.spark_partition_id().alias("run")).agg(F.count("*").alias("n"))
     return runs.agg((F.max("n") * 8 <= 2 * F.sum("n")).alias("balanced"), F.count("*").alias("runs"), F.sum("n").alias("n"))
+
+
+_CODES = ["EPOCH_MARKER", "click", "view", "purchase"]
+
+
+@query(
+    "WITH e AS (SELECT user_id % 4 AS file, event_id * 64 AS pos, CASE WHEN user_id % 4 = 3 AND event_id % 503 = 502 THEN 0 ELSE 64 END AS length, CASE event_type WHEN 'signup' THEN 'EPOCH_MARKER' ELSE event_type END AS code, "
+    "CASE WHEN event_id % 97 = 0 THEN 0 ELSE 1 + event_id % 4 END AS storage, CASE WHEN event_id % 31 = 0 THEN 0 ELSE user_id END AS new_epoch, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id - 4 END AS old_epoch, "
+    "CASE WHEN event_id % 5 = 0 THEN event_id * 64 + 8 ELSE event_id * 64 END AS marker_at FROM events), "
+    "z AS (SELECT file, max(pos) + CASE WHEN file = 1 THEN 32 ELSE 64 END AS size, min(pos) AS first, min(pos) FILTER (length = 0) AS stop FROM e GROUP BY file), "
+    "r AS (SELECT e.*, size, first FROM e JOIN z ON z.file = e.file WHERE stop IS NULL OR pos <= stop), "
+    "m AS (SELECT file, pos, old_epoch, lag(new_epoch) OVER (PARTITION BY file ORDER BY pos) AS before FROM r WHERE code = 'EPOCH_MARKER') "
+    "SELECT file, pos AS \"at\", 'MISSING_LOG_LENGTH' AS kind FROM r WHERE length = 0 UNION ALL SELECT file, pos, 'INCOMPLETE_ENTRY_AT_END' FROM r WHERE pos + length > size "
+    "UNION ALL SELECT file, pos, 'MISSING_LOG_TYPE_CODE' FROM r WHERE code NOT IN ('EPOCH_MARKER', 'click', 'view', 'purchase') UNION ALL SELECT file, pos, 'MISSING_STORAGE_ID' FROM r WHERE code <> 'EPOCH_MARKER' AND storage = 0 "
+    "UNION ALL SELECT file, pos, 'NO_EPOCH_MARKER_AT_BEGINNING' FROM r WHERE pos = first AND code <> 'EPOCH_MARKER' UNION ALL SELECT file, pos, 'INVALID_OLD_EPOCH' FROM r WHERE code = 'EPOCH_MARKER' AND old_epoch = 0 "
+    "UNION ALL SELECT file, pos, 'INVALID_NEW_EPOCH' FROM r WHERE code = 'EPOCH_MARKER' AND new_epoch = 0 UNION ALL SELECT file, pos, 'EPOCH_MARKER_INCORRECT_OFFSET' FROM r WHERE code = 'EPOCH_MARKER' AND marker_at <> pos "
+    "UNION ALL SELECT file, pos, 'EPOCH_MARKER_DOES_NOT_MATCH' FROM m WHERE before <> old_epoch UNION ALL SELECT file, size, 'NON_ALIGNED_FILE_END' FROM z WHERE size % 4096 <> 0"
+)
+def log_file_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Four log files made of the events, with faults of every kind."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    number, at = F.col("event_id"), F.col("event_id") * 64
+    entries = e.select(
+        (F.col("user_id") % 4).alias("file"), at.alias("at"), F.when((F.col("user_id") % 4 == 3) & (number % 503 == 502), 0).otherwise(64).alias("length"),
+        F.when(F.col("event_type") == "signup", log_files.MARKER).otherwise(F.col("event_type")).alias("code"), F.when(number % 97 == 0, 0).otherwise(1 + number % 4).alias("storage"),
+        F.when(number % 31 == 0, 0).otherwise(F.col("user_id")).alias("new_epoch"), F.when(number % 3 == 0, 0).otherwise(F.col("user_id") - 4).alias("old_epoch"),
+        F.when(number % 5 == 0, at + 8).otherwise(at).alias("marker_at"),
+    )
+    sizes = entries.groupBy("file").agg((F.max("at") + F.when(F.col("file") == 1, 32).otherwise(64)).alias("size"))
+    return log_files.problems(entries, sizes, _CODES)

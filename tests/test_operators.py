@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronofold.functions import keys
-from chronofold.operators import catalog, compaction, dml, log_tools, neighbours, procedures, reads, sequential
+from chronofold.operators import catalog, compaction, dml, log_files, log_tools, neighbours, procedures, reads, sequential
 from chronofold.plans.common import events_log
 from chronofold.session import table
 from chronofold.sources import snapshots
@@ -274,3 +274,24 @@ def test_key_only_inserts_and_boundaries(spark):
     assert [tuple(r) for r in dml.insert_keys(index, incoming, "a", "b").collect()] == [(2, 1)]
     assert [r.low for r in reads.page_boundaries(spark.range(1, 101), "id", 4).orderBy("page").collect()] == [1, 25, 50, 75]
     assert reads.page_boundaries(spark.range(0), "id", 4).collect() == []
+
+
+def test_log_files(spark):
+    schema = "file long, at long, length long, code string, storage long, old_epoch long, new_epoch long, marker_at long"
+    good = [(1, 0, 64, "EPOCH_MARKER", None, 1, 2, 0), (1, 64, 64, "put", 7, None, None, None), (1, 128, 3904, "FILLER", None, None, None, None), (1, 4032, 64, "EPOCH_MARKER", None, 2, 3, 4032)]
+    bad = [
+        (2, 0, 64, None, 0, None, None, None), (2, 64, 64, "EPOCH_MARKER", None, 1, 2, 0), (2, 128, 64, "EPOCH_MARKER", None, 5, None, 128),
+        (2, 192, 0, "put", 1, None, None, None), (2, 256, 64, "lost", 1, None, None, None),  # nothing is read after an entry without length
+        (3, 0, 64, "EPOCH_MARKER", None, None, 2, 0), (3, 64, 64, "put", 1, None, None, None),
+    ]
+    sizes = spark.createDataFrame([(1, 4096), (2, 4096), (3, 100)], "file long, size long")
+    found = log_files.problems(spark.createDataFrame(good + bad, schema), sizes, ["EPOCH_MARKER", "FILLER", "put"])
+    assert sorted(map(tuple, found.collect())) == sorted([
+        (2, 0, "MISSING_LOG_TYPE_CODE"), (2, 0, "MISSING_STORAGE_ID"), (2, 0, "NO_EPOCH_MARKER_AT_BEGINNING"), (2, 64, "EPOCH_MARKER_INCORRECT_OFFSET"),
+        (2, 128, "EPOCH_MARKER_DOES_NOT_MATCH"), (2, 128, "INVALID_NEW_EPOCH"), (2, 192, "MISSING_LOG_LENGTH"),
+        (3, 0, "INVALID_OLD_EPOCH"), (3, 64, "INCOMPLETE_ENTRY_AT_END"), (3, 100, "NON_ALIGNED_FILE_END"),
+    ])
+    some = log_files.first_problems(found, 3).collect()
+    assert len(some) == 4 and [r.kind for r in some].count("TOO_MANY_INCONSISTENCIES") == 1
+    assert log_files.first_problems(found, 10).count() == 10
+    assert log_files.problems(spark.createDataFrame([], schema), sizes.limit(0), ["put"]).collect() == []
