@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 from pyspark.sql.window import Window
 
 from chronofold.llm.arrow import chunks, joined, map_batches
@@ -210,10 +211,23 @@ def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray, shingl
     return map_batches(docs.select(text), run, "token long, node long, flags byte")
 
 
+def sketches(every: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit words of the sketches of some sets (tokens ``every``, cut at ``ends``), and where each begins (one more: the end).
+
+    A sketch has a power of two of bits, SKETCH_BITS and twice the tokens at least, so a large set's is not full; a token's
+    place is its last bits, so a longer sketch folds onto a shorter one."""
+    n = np.diff(ends)
+    width = np.array([max(SKETCH_BITS, 1 << (2 * k - 1).bit_length()) for k in n.tolist()], np.int64)
+    first = np.concatenate([[0], np.cumsum(width)])
+    seen = np.zeros(first[-1], bool)
+    seen[np.repeat(first[:-1], n) + (every & np.repeat(width - 1, n))] = True
+    return np.packbits(seen).view(np.int64), (first // 64).astype(np.int32)
+
+
 def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray, shingle: int) -> DataFrame:
     """(node, tokens, bits, codes) of texts whose node may be in ``bloom``; a node comes about once a task. ``bits`` has a bit
-    for each token's place among SKETCH_BITS, and ``codes`` the tokens' distinct last 16 bits: what only one of two sets
-    has of either stands for a token at least that the other lacks."""
+    for each token's place in a sketch (``sketches``), and ``codes`` the tokens' distinct last 16 bits: what only one of two
+    sets has of either stands for a token at least that the other lacks."""
     known = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +241,10 @@ def whole_sets(docs: DataFrame, text: str, seed: int, bloom: np.ndarray, shingle
                 tokens = [sets.token[sets.first[d] : sets.first[d + 1]].view(np.int64) for d in one.tolist()]
                 ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
                 every = np.concatenate(tokens)
-                seen = np.zeros((len(one), SKETCH_BITS), bool)
-                seen[np.repeat(np.arange(len(one)), np.diff(ends)), (every & (SKETCH_BITS - 1))] = True
-                words = np.packbits(seen, axis=1).view(np.int64)
-                steps = np.arange(len(one) + 1, dtype=np.int32) * words.shape[1]
+                words, steps = sketches(every, ends)
                 codes = [np.unique(t.astype(np.int16)) for t in tokens]
                 marks = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.node[one]), pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.ListArray.from_arrays(pa.array(steps), pa.array(words.ravel())), pa.ListArray.from_arrays(pa.array(marks), pa.array(np.concatenate(codes)))], names=["node", "tokens", "bits", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.node[one]), pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.ListArray.from_arrays(pa.array(steps), pa.array(words)), pa.ListArray.from_arrays(pa.array(marks), pa.array(np.concatenate(codes)))], names=["node", "tokens", "bits", "codes"])
 
     return map_batches(docs.select(text), run, "node long, tokens array<long>, bits array<long>, codes array<smallint>")
 
@@ -279,13 +290,21 @@ def _links(most: Column, percent: int) -> Column:
     return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
 
+def _folded(x: str, words: Column) -> Column:
+    """A sketch folded onto ``words`` of its words."""
+    part = lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(x) / words).cast("int") - 1), F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(F.get(x, i + k * words)))
+    return F.when(F.size(x) == words, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), words - 1), part))
+
+
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) less those whose bits show that too few tokens can be common."""
+    words = F.least(F.size("xa"), F.size("xb"))
 
     def only(one: str, two: str) -> Column:
         return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda total, x: total + x)
 
-    return _sides(pairs, sets, "bits").where(_links(_most(only("xa", "xb"), only("xb", "xa")), percent)).select("a", "b")
+    both = _sides(pairs, sets, "bits").withColumns({"xa": _folded("xa", words), "xb": _folded("xb", words)})
+    return both.where(_links(_most(only("xa", "xb"), only("xb", "xa")), percent)).select("a", "b")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,24 +314,32 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("least", most).where(_links(F.col("least"), percent)).select("a", "b")
 
 
+def among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``sets`` that are in ``nodes``, and a few others, so that the rest are not shuffled.
+
+    By a bitmap of 2 ** BLOOM_BITS bits, as at most 2 ** (BLOOM_BITS - 6) rows of 64 that are broadcast."""
+    word = F.expr(f"shiftright(node & {(1 << BLOOM_BITS) - 1}, 6)")
+    words = nodes.groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("__bits"))
+    return sets.join(F.broadcast(words), word == F.col("__word")).where("shiftright(__bits, cast(node & 63 as int)) & 1 = 1").drop("__word", "__bits")
+
+
 def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of distinct pairs (a, b) that link, by their whole sets."""
-    both = _sides(pairs, sets, "tokens")
+    """Those of written distinct pairs (a, b) that link, by their whole sets."""
+    both = _sides(pairs, among(sets, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "tokens")
     return both.where(_links(F.size(F.array_intersect("xa", "xb")), percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return exact(likely(plausible(pairs, sets, percent), sets, percent), sets, percent)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    return exact(scratch.table(likely(plausible(pairs, sets, percent), sets, percent)), sets, percent)
 
 
-def tiled(nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components within each cluster of nodes.
+def _tile_pairs(nodes: DataFrame, percent: int, weight: Column, *columns: str) -> GroupedData:
+    """Groups of two tiles each, of nodes (node, n, comp, cluster, bits and ``columns``) of one cluster.
 
-    ``nodes``: node, n, comp, bits, codes, cluster. A cluster's nodes are dealt by size into buckets, of which only the same
-    and adjacent ones can hold pairs, and those into tiles of at most about TILE nodes and TILE_CODES codes. A task compares
-    two tiles, first by bits and then by codes, so no cluster lies in one task and no pair becomes a row unless it is likely."""
+    A cluster's nodes are dealt by size into buckets, of which only the same and adjacent ones can hold pairs, and those into
+    tiles of at most about TILE nodes and TILE_CODES values of 16 bits (``weight``: those of a node)."""
     nodes = nodes.withColumn("bucket", F.floor(F.log("n") / log(100 / percent)).cast("int"))
-    buckets = nodes.groupBy("cluster", "bucket").agg(F.count("*").alias("m"), F.sum(F.size("codes")).alias("size"))
+    buckets = nodes.groupBy("cluster", "bucket").agg(F.count("*").alias("m"), F.sum(weight).alias("size"))
     tiles = F.ceil(F.greatest(F.col("m") / TILE, F.col("size") / TILE_CODES)).cast("int")
     # a map of at most some hundred buckets, since their sizes rise by a factor
     sizes = buckets.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("bucket", tiles.alias("tiles")))).alias("tiles"), F.sum("m").alias("m"))
@@ -325,23 +352,45 @@ def tiled(nodes: DataFrame, percent: int) -> DataFrame:
     swap = (F.col("step") == -1) | ((F.col("step") == 0) & (F.col("other") < F.col("tile")))
     dealt = dealt.select(
         "cluster", F.least("bucket", F.col("bucket") + F.col("step")).alias("low"), F.abs("step").alias("gap"),
-        F.when(swap, F.col("other")).otherwise(F.col("tile")).alias("i"), F.when(swap, F.col("tile")).otherwise(F.col("other")).alias("j"), "bucket", "tile", "node", "n", "comp", "bits", "codes",
+        F.when(swap, F.col("other")).otherwise(F.col("tile")).alias("i"), F.when(swap, F.col("tile")).otherwise(F.col("other")).alias("j"), "bucket", "tile", "node", "n", "comp", "bits", *columns,
     )
+    return dealt.groupBy("cluster", "low", "gap", "i", "j")
+
+
+def _by_bits(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a group of two tiles, with the rows of other components that it may link with by size and bits."""
+    bucket, tile, n, comp = (group.column(c).to_numpy() for c in ("bucket", "tile", "n", "comp"))
+    bits = group.column("bits").to_numpy()
+    words = min(map(len, bits))
+    bits = np.stack([np.bitwise_or.reduce(x.reshape(-1, words)) for x in bits]).view(U)
+    low, gap, i, j = (group.column(c)[0].as_py() for c in ("low", "gap", "i", "j"))
+    left, right = np.flatnonzero((bucket == low) & (tile == i)), np.flatnonzero((bucket == low + gap) & (tile == j))
+    for x in left.tolist():
+        y = right[(comp[right] != comp[x]) & ((gap > 0 or i != j) | (right > x))]
+        y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+        most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
+        y = y[100 * most >= percent * (n[x] + n[y] - most)]
+        if len(y):
+            yield x, y
+
+
+def tiled(nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Likely pairs (a, b) of different components within each cluster of ``nodes``: node, n, comp, bits, cluster.
+
+    A task compares two tiles, so no cluster lies in one task and no pair becomes a row unless it is likely. First tiles have
+    bits alone and tell the nodes that may have a partner; only those are dealt again, with their far larger codes."""
+
+    def partnered(group: pa.Table) -> pa.Table:
+        node, has = group.column("node").to_numpy(), np.zeros(group.num_rows, bool)
+        for x, y in _by_bits(group, percent):
+            has[x] = has[y] = True
+        return pa.table({"node": pa.array(node[has], pa.int64())})
 
     def compare(group: pa.Table) -> pa.Table:
-        bucket, tile, node, n, comp = (group.column(c).to_numpy() for c in ("bucket", "tile", "node", "n", "comp"))
-        bits = np.stack(group.column("bits").to_numpy()).view(U)
+        node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
         codes = [np.asarray(c).view(np.uint16) for c in group.column("codes").to_numpy()]
-        low, gap, i, j = (group.column(c)[0].as_py() for c in ("low", "gap", "i", "j"))
-        left, right = np.flatnonzero((bucket == low) & (tile == i)), np.flatnonzero((bucket == low + gap) & (tile == j))
         has, found = np.zeros(1 << 16, bool), []
-        for x in left.tolist():
-            y = right[(comp[right] != comp[x]) & ((gap > 0 or i != j) | (right > x))]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
-            y = y[100 * most >= percent * (n[x] + n[y] - most)]
-            if not len(y):
-                continue
+        for x, y in _by_bits(group, percent):
             has[codes[x]] = True
             for z in y.tolist():
                 common = int(np.count_nonzero(has[codes[z]]))
@@ -352,7 +401,9 @@ def tiled(nodes: DataFrame, percent: int) -> DataFrame:
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return dealt.groupBy("cluster", "low", "gap", "i", "j").applyInArrow(compare, "a long, b long")
+    some = scratch.table(_tile_pairs(nodes, percent, 4 * F.size("bits")).applyInArrow(partnered, "node long").distinct())
+    left = nodes.join(some, "node", "left_semi").join(among(sets, some).select("node", "codes"), "node")
+    return _tile_pairs(scratch.table(left), percent, F.size("codes"), "codes").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -446,18 +497,18 @@ class Join:
         sets = keep(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("tokens", "bits", "codes"))))
 
         # first each node meets the centre that it shares most entries with, then one of another component, and then all that are left
-        edges = keep(verified(self.best(sigs), sets, self.percent))
+        edges = keep(verified(self.best(sigs), sets, self.percent, self.scratch))
         labels = components(edges, self.scratch)
         left = self.unsettled(sigs, labels, F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit("centre"))).alias("c"))
         drop(sigs)
-        edges = edges.unionByName(keep(verified(self.best(left.where("c.comp != comp")), sets, self.percent)))
+        edges = edges.unionByName(keep(verified(self.best(left.where("c.comp != comp")), sets, self.percent, self.scratch)))
         labels = components(edges, self.scratch)
 
         rest = self.unsettled(left, labels, F.min("node").alias("first"))
         drop(left)
-        near = keep(self.all_pairs(rest, sets))
+        near = keep(self.all_pairs(rest, sets).distinct())
         drop(rest)
-        edges = edges.unionByName(keep(exact(near.distinct(), sets, self.percent)))
+        edges = edges.unionByName(keep(exact(near, sets, self.percent)))
         return components(edges, self.scratch)
 
     def best(self, entries: DataFrame) -> DataFrame:
@@ -478,14 +529,14 @@ class Join:
         two = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
         pairs = plausible(self.fitting(one.join(two, "sig").where(F.col("ca") < F.col("cb"))), sets, self.percent)
         pairs = likely(pairs, sets, self.percent)
-        return pairs if many.isEmpty() else pairs.unionByName(tiled(self.clusters(many, sets), self.percent))
+        return pairs if many.isEmpty() else pairs.unionByName(tiled(self.clusters(many, sets), sets, self.percent, self.scratch))
 
     def clusters(self, many: DataFrame, sets: DataFrame) -> DataFrame:
         """Nodes of large entries, each once, with the cluster of entries that share nodes."""
         star = many.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
         named = components(self.scratch.table(star), self.scratch).withColumnRenamed("comp", "cluster")
         nodes = many.select("node", "n", "comp").distinct()
-        return self.scratch.table(nodes.join(named, "node").join(sets.select("node", "bits", "codes"), "node"))
+        return self.scratch.table(nodes.join(named, "node").join(sets.select("node", "bits"), "node"))
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""

@@ -6,6 +6,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from chronofold.llm import line_dedup, ngram_join
 from pyspark.sql import functions as F
@@ -87,6 +88,52 @@ def test_join_is_exact_for_other_values(spark, monkeypatch, seed, shingle, perce
     assert sorted(tuple(r) for r in got) == plain_components_of(rows, shingle, percent)
 
 
+def sets_of(spark, *texts):
+    """The whole sets of texts, and the node of each."""
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = np.full(1 << (ngram_join.BLOOM_BITS - 5), 0xFFFFFFFF, np.uint32)
+    nodes = [int(x) for x in ngram_join.Sets(pa.array(texts), 8, 1).node]
+    return ngram_join.whole_sets(docs, "text", 8, every, 1), nodes
+
+
+def test_sketches_of_large_sets(spark):
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    sets, (a, b, c, d, e) = sets_of(spark, text("a", 3000), text("a", 1000) + " " + text("b", 2000), text("a", 2900), text("c", 500), text("c", 1600))
+    pairs = spark.createDataFrame([(a, b), (a, c), (d, e)], "a long, b long")
+    found = {percent: sorted(tuple(r) for r in ngram_join.plausible(pairs, sets, percent).collect()) for percent in (85, 30)}
+    assert found[85] == [(a, c)] and {(a, c), (d, e)} <= set(found[30])  # (a, b) have a fifth in common
+    wanted = spark.createDataFrame([(a,), (d,)], "node long")
+    assert sorted(r.node for r in ngram_join.among(sets, wanted).select("node").collect()) == sorted([a, d])
+
+
+@pytest.mark.parametrize("small_entry", [64, 0])
+def test_join_is_exact_for_sketches_of_several_lengths(spark, monkeypatch, small_entry):
+    monkeypatch.setattr(ngram_join, "SMALL_ENTRY", small_entry)
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(1100)]
+    rows = []
+    for i, n in enumerate([470, 490, 505, 520, 540, 560, 900, 950, 1000, 1030, 1060, 1100] * 3):
+        t = base[:n]
+        for _ in range(draw.choice([0, 5, 12, 25])):
+            t[draw.randrange(n)] = f"x{i} {draw.random()}"
+        rows.append((i, " ".join(t)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == plain_components(rows)
+
+
+def test_tiles_deal_codes_to_nodes_that_may_link(spark, monkeypatch):
+    """Of a cluster of nodes with little in common, only those with a possible partner are dealt with their codes."""
+    dealt, tables = ngram_join._tile_pairs, []
+    monkeypatch.setattr(ngram_join, "_tile_pairs", lambda nodes, percent, weight, *columns: tables.append((columns, nodes.count())) or dealt(nodes, percent, weight, *columns))
+    alike = " ".join(f"q{i}" for i in range(300))
+    texts = [" ".join(f"{c}{i}" for i in range(300)) for c in "abcdefgh"] + [alike, alike + " more"]
+    sets, of = sets_of(spark, *texts)
+    nodes = spark.createDataFrame([(x, x, 1) for x in of], "node long, comp long, cluster long").join(sets.select("node", F.size("tokens").cast("long").alias("n"), "bits"), "node")
+    found = ngram_join.tiled(nodes, sets, 85, ngram_join.Scratch(spark)).collect()
+    assert [tuple(r) for r in found] == [tuple(sorted(of[-2:]))] and tables == [((), 10), (("codes",), 2)]
+
+
 def test_pipeline_near_copies_by_five_words(spark, small):
     base = [f"w{i}" for i in range(300)]
     rows = [(1, " ".join(base)), (2, " ".join(base + [f"x{i}" for i in range(66)])), (3, " ".join(base + [f"y{i}" for i in range(90)]))]
