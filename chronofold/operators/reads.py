@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Keys of a batch read that are shipped to every executor at most; a longer list is joined by shuffle.
 BROADCAST_KEYS = 100_000
@@ -66,9 +67,23 @@ def scan_limit(table: DataFrame, key: str, start, n: int, *columns: str) -> Data
     return (rows.select(*columns) if columns else rows).orderBy(key).limit(n)
 
 
-def page_boundaries(table: DataFrame, key: str, pages: int, accuracy: int = 1 << 20) -> DataFrame:
-    """(page, low): about the least key of each of ``pages`` ranges of like size, from a mergeable sketch of the keys; a hint
-    for dealing out work, with an error of 1 / accuracy of the rows. No rows for a table without keys."""
-    cuts = F.expr("array(" + ", ".join(f"{i / pages}D" for i in range(pages)) + ")")
-    found = table.agg(F.percentile_approx(key, cuts, accuracy).alias("_low"))
-    return found.select(F.posexplode("_low").alias("page", "low"))
+def page_boundaries(table: DataFrame, key: str, pages: int, accuracy: int = 1 << 14) -> DataFrame:
+    """(page, low): the least key of each of ``pages`` ranges of like size; no rows for a table without keys.
+
+    A mergeable sketch puts a bound on either side of each boundary, the keys between bounds are counted, and only those of
+    ranges that hold a boundary are ordered. The sketch decides how many these are, not the result.
+    """
+    cuts = [max(0.0, min(1.0, i / pages + side / accuracy)) for i in range(pages) for side in (-4, 4)]
+    keys = table.select(F.col(key).alias("_key")).where("_key IS NOT NULL")
+    bounds = keys.agg(F.percentile_approx("_key", F.array(*map(F.lit, cuts)), accuracy).alias("_bounds"))  # one row
+    below = F.expr(" + ".join(f"int(_bounds[{i}] < _key)" for i in range(len(cuts))))
+    ranged = keys.crossJoin(F.broadcast(bounds)).select("_key", below.alias("_range"))
+    # a row for each range, then one for each page
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    counts = counts.select("_range", "_n", F.sum("_n").over(Window.orderBy("_range")).alias("_upto"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    rank = F.expr(f"greatest((page * _all + {pages - 1}) div {pages}, 1L)")
+    places = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page")).withColumn("_place", rank - F.col("_upto") + F.col("_n"))
+    places = places.where("_place BETWEEN 1 AND _n").select("_range", "page", "_place")
+    near = ranged.join(F.broadcast(places.select("_range").distinct()), "_range", "left_semi").groupBy("_range", "_key").agg(F.count("*").alias("_n"))
+    near = near.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_range").orderBy("_key")))
+    return near.join(F.broadcast(places), "_range").where("_place <= _upto AND _place > _upto - _n").select("page", F.col("_key").alias("low"))

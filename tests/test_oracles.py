@@ -54,3 +54,21 @@ def test_ycsb_read_of_a_larger_table(spark, tmp_path):
     df = catalogue.QUERIES["ycsb_read"](spark, str(tmp_path))
     expected = larger.execute(catalogue.ORACLES["ycsb_read"])
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in expected.description], expected.fetchall())
+
+
+@pytest.mark.parametrize(
+    "keys",
+    [
+        "SELECT id AS o_orderkey FROM range(900000)",
+        "SELECT id DIV 3 * if(id % 2 = 0, -1, 1) AS o_orderkey FROM range(300000)",
+        "SELECT explode(array(9007199254740993, 9007199254740995, null, 5, 5)) AS o_orderkey",
+        "SELECT if(id < 30000, 7, id) AS o_orderkey FROM range(40000)",
+        "SELECT id AS o_orderkey FROM range(0)",
+    ],
+)
+def test_page_boundaries_of_other_keys(spark, tmp_path, keys):
+    spark.sql(keys).write.parquet(str(tmp_path / "orders.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = catalogue.QUERIES["page_boundaries"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(catalogue.ORACLES["page_boundaries"]).fetchall())
